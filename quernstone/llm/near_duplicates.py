@@ -106,20 +106,21 @@ def _signatures(shingle: int, id_col: str, text_col: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts, held = np.zeros(1 << SKETCH_BITS, np.int32), []
         for pdf in batches:
-            ids, sigs, sizes = [], [], []
+            ids, keys, sigs, sizes = [], [], [], []
             for i, text in zip(pdf[id_col], pdf[text_col]):
                 s = shingle_set(text, shingle)
                 if len(s):
-                    ids.append(i), sigs.append(signature(s)), sizes.append(len(s))
+                    sig = signature(s)
+                    ids.append(i), keys.append(_key(sig)), sigs.append(sig), sizes.append(len(s))
                     held.append(_slots(s))
             if held:
                 counts += np.bincount(np.concatenate(held), minlength=len(counts)).astype(np.int32)
                 held = []
-            yield pd.DataFrame({"kind": 0, "id": ids, "sig": sigs, "n": sizes})
+            yield pd.DataFrame({"kind": 0, "id": ids, "v": keys, "sig": sigs, "n": sizes})
         if counts.any():
             part = len(counts) // CHUNKS
             blobs = [zlib.compress(counts[c * part : (c + 1) * part].tobytes(), 1) for c in range(CHUNKS)]
-            yield pd.DataFrame({"kind": 1, "id": range(CHUNKS), "sig": blobs, "n": 0})
+            yield pd.DataFrame({"kind": 1, "id": range(CHUNKS), "v": 0, "sig": blobs, "n": 0})
 
     return run
 
@@ -307,7 +308,7 @@ def _bloom_part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     bits, some = np.zeros(1 << BLOOM_BITS, bool), False
     for pdf in batches:
         if len(pdf):
-            bits[_bloom_slots(pdf["v"].to_numpy(np.int64).copy())] = True
+            bits[_bloom_slots(pdf["id"].to_numpy(np.int64).copy())] = True
             some = True
     if some:
         yield pd.DataFrame({"g": [0], "bits": [zlib.compress(np.packbits(bits).tobytes(), 1)]})
@@ -323,28 +324,20 @@ def _bloom_merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"bits": [zlib.compress(bits.tobytes(), 1)]})
 
 
-def _needed_sets(shingle: int, text_col: str, bloom):
-    """The sets of texts that are in some candidate pair (a fixed-size filter may let others through)."""
+def _needed_sets(shingle: int, bloom):
+    """The sets of the texts whose id may be among those needed."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits, seen = np.unpackbits(np.frombuffer(zlib.decompress(bloom.value), np.uint8)), set()
+        bits = np.unpackbits(np.frombuffer(zlib.decompress(bloom.value), np.uint8))
         for pdf in batches:
-            keys, sigs, sets = [], [], []
-            for text in pdf[text_col]:
+            pdf = pdf[bits[_bloom_slots(pdf["id"].to_numpy(np.int64).copy())].all(axis=0)]
+            ids, sigs, sets = [], [], []
+            for i, text in zip(pdf["id"], pdf["text"]):
                 s = shingle_set(text, shingle)
-                if not len(s):
-                    continue
-                sig = signature(s)
-                if sig in seen:
-                    continue
-                key = _key(sig)
-                if bits[_bloom_slots(np.array([key], np.int64))].all():
-                    seen.add(sig)
-                    keys.append(key), sigs.append(sig)
+                if len(s):
+                    ids.append(i), sigs.append(signature(s))
                     sets.append(s.byteswap().view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
-            if len(seen) > 500_000:
-                seen = set()
-            yield pd.DataFrame({"v": keys, "sig": sigs, "set": sets})
+            yield pd.DataFrame({"id": ids, "sig": sigs, "set": sets})
 
     return run
 
@@ -391,8 +384,8 @@ def _verify(threshold: float):
         docs = docs.drop_duplicates("sig")
         sets = {sig: _read_set(blob) for sig, blob in zip(docs["sig"], docs["set"])}
         by_key: dict[int, list[bytes]] = {}
-        for v, sig in zip(docs["v"], docs["sig"]):
-            by_key.setdefault(v, []).append(sig)
+        for sig in docs["sig"]:
+            by_key.setdefault(_key(sig), []).append(sig)
         partners: dict[bytes, list[bytes]] = {}
         for a, b in zip(pairs["a"], pairs["b"]):
             for p in by_key.get(a, ()):
@@ -418,11 +411,11 @@ def near_duplicates(
     """
     spark = df.sparkSession
     docs = spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL"))
-    first = materialize(docs.mapInPandas(_signatures(shingle, "id", "text"), "kind int, id long, sig binary, n int"), "signatures")
+    first = materialize(docs.mapInPandas(_signatures(shingle, "id", "text"), "kind int, id long, v long, sig binary, n int"), "signatures")
     members = first.where("kind = 0").select("id", "sig", "n")
     counts = np.zeros(1 << SKETCH_BITS, np.int32)
     part = len(counts) // CHUNKS
-    merged = first.where("kind = 1").select("id", "sig").repartition("id").mapInPandas(_merge_counts, "id long, sig binary")
+    merged = first.where("kind = 1").select("id", "sig").repartition(CHUNKS // 4, "id").mapInPandas(_merge_counts, "id long, sig binary")
     for c, blob in merged.collect():  # CHUNKS rows, 4 bytes a counter
         counts[c * part : (c + 1) * part] = np.frombuffer(zlib.decompress(blob), np.int32)
     total = int(counts.sum(dtype=np.int64))
@@ -440,10 +433,13 @@ def near_duplicates(
         keyed.join(wide, "label").select("a", "b", "label", F.pmod(F.xxhash64("a"), "grid").alias("i"), F.pmod(F.xxhash64("b"), "grid").alias("j")), "blocks"
     )
     need = keyed.select(F.col("a").alias("v"), "label", "i", "j").union(keyed.select("b", "label", "i", "j")).distinct().toDF("v", "l", "m", "n")
-    bloom = need.select("v").mapInPandas(_bloom_part, "g int, bits binary").repartition(1).mapInPandas(_bloom_merge, "bits binary").collect()
+    # One text stands for each class; only the texts that stand for a class in `need` are read again.
+    stand = first.where("kind = 0").groupBy("v", "sig").agg(F.min("id").alias("id")).select("v", "id")
+    need = materialize(need.join(stand, "v").select("id", "l", "m", "n"), "needed")
+    bloom = need.select("id").mapInPandas(_bloom_part, "g int, bits binary").repartition(1).mapInPandas(_bloom_merge, "bits binary").collect()
     filled = spark.sparkContext.broadcast(bloom[0].bits if bloom else zlib.compress(bytes(1 << BLOOM_BITS - 3)))
-    sets = docs.mapInPandas(_needed_sets(shingle, "text", filled), "v long, sig binary, set binary")
-    placed = sets.join(need, "v")
+    sets = docs.mapInPandas(_needed_sets(shingle, filled), "id long, sig binary, set binary")
+    placed = sets.join(need, "id")
     pairs = placed.groupBy("l", "m", "n").cogroup(keyed.groupBy("label", "i", "j")).applyInPandas(_verify(threshold), "sig_a binary, sig_b binary, overlap long, size_a long, size_b long")
     return members, materialize(pairs.where("sig_a IS NOT NULL"), "pairs")
 

@@ -1,8 +1,8 @@
 """All queries of this subpackage with their SQL."""
 
-from quernstone.llm import queries_near
+from quernstone.llm import queries_lines, queries_near, queries_split
 
-MODULES = [queries_near]
+MODULES = [queries_near, queries_split, queries_lines]
 
 
 def queries() -> dict:
