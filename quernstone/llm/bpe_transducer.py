@@ -4,11 +4,11 @@ A byte-level BPE encoding is the only token sequence with these bytes in which e
 are stable, that is, encode to themselves. So the last token of each prefix is determined, and the
 encoder is a deterministic machine over bytes:
 
-* Reading a byte, the prefixes at which a token may still begin are those whose rest is a path in
-  the vocabulary's trie. A state holds these open prefixes, relative to the last decided token: for
-  each the length of its rest and its undecided tokens.
-* The tokens all open prefixes agree on are decided and emitted. As no token is longer than the
-  trie is deep, this happens after bounded lookahead.
+* Reading a byte, the prefixes after which a token may still end are those whose rest is a path in
+  the vocabulary's trie. A state holds these open prefixes: for each its trie node and the last token of its
+  encoding, which decides what may follow. Its output is the last token of the input so far.
+* The encodings of all open prefixes agree up to a point, as no token is longer than the trie is deep.
+  Up to there the tokens are decided and emitted; at the end of the input, the rest is.
 
 States are numbered when they are first reached and transitions are computed once (lazy
 determinisation), after which a byte costs one table lookup. The public pattern's pre-tokens are
@@ -29,7 +29,18 @@ class Vocabulary:
         with open(path, "rb") as f:
             self.rank = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
         self.bytes_of = {b: a for a, b in self.rank.items()}
-        self.prefixes = {t[:i] for t in self.rank for i in range(1, len(t))}
+        self.child: dict[int, int] = {}
+        self.token_at, self.inner, self.depth = [-1], [True], [0]
+        for data, token in self.rank.items():
+            node = 0
+            for b in data:
+                self.inner[node] = True
+                to = self.child.get(node << 8 | b)
+                if to is None:
+                    to = self.child[node << 8 | b] = len(self.token_at)
+                    self.token_at.append(-1), self.inner.append(False), self.depth.append(self.depth[node] + 1)
+                node = to
+            self.token_at[node] = token
         self._stable: dict[tuple[int, int], bool] = {}
         self._parts: dict[int, tuple[int, int] | None] = {}
 
@@ -89,65 +100,78 @@ class Vocabulary:
 
 
 class Transducer:
-    """Encodes byte strings. A state is (last decided token, open prefixes), an open prefix (rest, undecided tokens)."""
+    """Encodes byte strings. A state is a tuple of open prefixes (trie node, last token), the longest rest first."""
 
-    MOST_STATES = 300_000
+    MOST_STATES = 400_000
+    #: Bytes after which decided tokens are emitted while more input comes.
+    WINDOW = 4096
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
+        self.size = {t: len(b) for t, b in vocabulary.bytes_of.items()}
         self._reset()
 
     def _reset(self) -> None:
-        self.numbers: dict[tuple, int] = {}
-        self.states: list[tuple] = []
-        self.step: dict[int, tuple[int, tuple]] = {}
-        self.tails: list[tuple | None] = []
-        self._number((-1, ((b"", ()),)))
-
-    def _number(self, state: tuple) -> int:
-        n = self.numbers.get(state)
-        if n is None:
-            n = self.numbers[state] = len(self.states)
-            self.states.append(state)
-            # The newest prefix is the whole input so far: its undecided tokens end the encoding here.
-            self.tails.append(next((u for rest, u in state[1] if not rest), None))
-        return n
-
-    def _transition(self, number: int, byte: int) -> tuple[int, tuple]:
-        last, open_ = self.states[number]
-        v, b = self.v, bytes([byte])
-        still, whole = [], None
-        for rest, undecided in open_:
-            token = v.rank.get(rest + b)
-            if token is not None and whole is None:
-                before = undecided[-1] if undecided else last
-                if before < 0 or v.stable(before, token):
-                    whole = (*undecided, token)
-            if rest + b in v.prefixes:
-                still.append((rest + b, undecided))
-        if whole is None:
+        start = ((0, -1),)
+        self.numbers: dict[tuple, int] = {start: 0}
+        self.states: list[tuple] = [start]
+        self.last: list[int] = [-1]
+        self.step: dict[int, int] = {}
+
+    def _transition(self, at: int, byte: int) -> int:
+        v, open_, last = self.v, [], -1
+        child, token_at, inner = v.child, v.token_at, v.inner
+        for node, before in self.states[at]:
+            to = child.get(node << 8 | byte)
+            if to is not None:
+                if last < 0 and token_at[to] >= 0 and (before < 0 or v.stable(before, token_at[to])):
+                    last = token_at[to]
+                if inner[to]:
+                    open_.append((to, before))
+        if last < 0:
             raise ValueError("the vocabulary lacks single bytes")
-        still.append((b"", whole))
-        shared = 0
-        least = min(len(u) for _, u in still)
-        while shared < least and len({u[shared] for _, u in still}) == 1:
-            shared += 1
-        out = still[0][1][:shared]
-        return self._number((out[-1] if out else last, tuple((r, u[shared:]) for r, u in still))), out
+        open_.append((0, last))
+        state = tuple(open_)
+        number = self.numbers.get(state)
+        if number is None:
+            number = self.numbers[state] = len(self.states)
+            self.states.append(state)
+            self.last.append(last)
+        self.step[at << 8 | byte] = number
+        return number
+
+    def _chain(self, ends: list[int], upto: int) -> list[int]:
+        """The tokens of the encoding of the first `upto` bytes."""
+        out = []
+        while upto:
+            t = ends[upto - 1]
+            out.append(t)
+            upto -= self.size[t]
+        return out[::-1]
+
+    def _decided(self, ends: list[int], at: int) -> int:
+        """Where the encodings of all open prefixes meet."""
+        places = {len(ends) - self.v.depth[node] for node, _ in self.states[at]}
+        while len(places) > 1:
+            far = max(places)
+            places.remove(far)
+            places.add(far - self.size[ends[far - 1]])
+        return places.pop()
 
     def encode(self, data: bytes) -> list[int]:
         """Token ids of one pre-token."""
         if len(self.states) > self.MOST_STATES:
             self._reset()
-        out, at, step = [], 0, self.step
+        out, ends, at, step, last = [], [], 0, self.step, self.last
         for byte in data:
             to = step.get(at << 8 | byte)
-            if to is None:
-                to = step[at << 8 | byte] = self._transition(at, byte)
-            at, emitted = to
-            if emitted:
-                out += emitted
-        out += self.tails[at]
+            at = self._transition(at, byte) if to is None else to
+            ends.append(last[at])
+            if len(ends) > self.WINDOW:
+                upto = self._decided(ends, at)
+                out += self._chain(ends, upto)
+                del ends[:upto]
+        out += self._chain(ends, len(ends))
         return out
 
 
