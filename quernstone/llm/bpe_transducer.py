@@ -17,7 +17,7 @@ remembered in a table of bounded size.
 """
 
 import array
-import base64
+import binascii
 
 import regex
 
@@ -27,7 +27,7 @@ class Vocabulary:
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
-            self.rank = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
+            self.rank = {binascii.a2b_base64(a): int(b) for a, b in (line.split() for line in f)}
         self.bytes_of = {b: a for a, b in self.rank.items()}
         self.child: dict[int, int] = {}
         self.token_at, self.inner, self.depth = [-1], [True], [0]
@@ -41,7 +41,7 @@ class Vocabulary:
                     self.token_at.append(-1), self.inner.append(False), self.depth.append(self.depth[node] + 1)
                 node = to
             self.token_at[node] = token
-        self._stable: dict[tuple[int, int], bool] = {}
+        self.known: dict[int, bool] = {}
         self._parts: dict[int, tuple[int, int] | None] = {}
 
     def merge(self, data: bytes, below: int | None = None) -> list[int]:
@@ -78,24 +78,25 @@ class Vocabulary:
         pair, the later made of the two tokens at the border is taken apart; the pair is unstable if the two
         that then touch would have merged before that token was made.
         """
-        got = self._stable.get((a, b))
+        got = self.known.get(a << 20 | b)
         if got is None:
-            if len(self._stable) > 2_000_000:
-                self._stable.clear()
-            x, y, until, got = a, b, len(self.rank) + 1, True
+            if len(self.known) > 2_000_000:
+                self.known.clear()
+            rank, bytes_of, parts = self.rank, self.bytes_of, self.parts
+            x, y, until, got = a, b, len(rank) + 1, True
             while True:
-                merged = self.rank.get(self.bytes_of[x] + self.bytes_of[y])
+                merged = rank.get(bytes_of[x] + bytes_of[y])
                 if merged is not None and merged < until:
                     got = False
                     break
-                px, py = self.parts(x), self.parts(y)
+                px, py = parts(x), parts(y)
                 if px and (x > y or not py):
                     until, x = x, px[1]
                 elif py:
                     until, y = y + 1, py[0]
                 else:
                     break
-            self._stable[a, b] = got
+            self.known[a << 20 | b] = got
         return got
 
 
@@ -120,12 +121,18 @@ class Transducer:
 
     def _transition(self, at: int, byte: int) -> int:
         v, open_, last = self.v, [], -1
-        child, token_at, inner = v.child, v.token_at, v.inner
+        child, token_at, inner, known = v.child, v.token_at, v.inner, v.known
         for node, before in self.states[at]:
             to = child.get(node << 8 | byte)
             if to is not None:
-                if last < 0 and token_at[to] >= 0 and (before < 0 or v.stable(before, token_at[to])):
-                    last = token_at[to]
+                if last < 0:
+                    token = token_at[to]
+                    if token >= 0:
+                        fine = before < 0 or known.get(before << 20 | token)
+                        if fine is None:
+                            fine = v.stable(before, token)
+                        if fine:
+                            last = token
                 if inner[to]:
                     open_.append((to, before))
         if last < 0:
