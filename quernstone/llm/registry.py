@@ -1,8 +1,8 @@
 """All queries of this subpackage with their SQL."""
 
-from quernstone.llm import queries_lines, queries_near, queries_split, queries_tokens
+from quernstone.llm import queries_lines, queries_near, queries_quality, queries_split, queries_tokens
 
-MODULES = [queries_near, queries_split, queries_lines, queries_tokens]
+MODULES = [queries_near, queries_quality, queries_split, queries_lines, queries_tokens]
 
 
 def queries() -> dict:
