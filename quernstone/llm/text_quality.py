@@ -1,14 +1,22 @@
 """Per-document text quality statistics and fixed-threshold rules (problem 2).
 
-Every line becomes a row of counts (characters, words, letters, common words, table bars, wide gaps
-...), all by JVM expressions; a document's statistics are sums over its lines. Rules compare them with
-fixed thresholds, mostly those published for web-text filters (word counts, mean word length, symbol and bullet
-shares, least number of stop words), and each failed rule leaves its name in `reasons`.
-The share of characters that stand in running text is built from the same counts: a line is running
-text if common words of some language make up enough of it and it is no table row, gapped row, repetition or debris.
+A batch of texts becomes one array of code points, and every count (characters, letters, words, common
+words, table bars, wide gaps ...) is an array operation over all its lines at once: classes of
+characters come from one lookup table, words from the places where letters begin and end, common words from word hashes.
+A document's statistics are sums over its lines. Rules compare them with fixed thresholds, mostly those published
+for web-text filters (word counts, mean word length, symbol and bullet shares, least number of stop words), and
+each failed rule leaves its name in `reasons`. The share of characters in running text comes from the
+same counts: a line is running text if common words of some language make up enough of it and it is no
+table row, gapped row, repetition or debris.
 """
 
-from pyspark.sql import Column, DataFrame
+import re
+import unicodedata
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.sources.tables import spread
@@ -24,70 +32,178 @@ COMMON = {
 # Thresholds.
 RULES = {"min_words": 3, "min_mean_word": 2.0, "max_mean_word": 10.0, "max_symbols": 0.4, "min_alpha_words": 0.3, "max_bullets": 0.9, "min_common": 2, "min_prose": 0.5}
 
-_WORD = r"\p{L}+(?:['’]\p{L}+)*"
-_LINK = r'!?\[((?:[^\[\]]|\[[^\[\]]*\])*)\]\((?:[^()]|\([^()]*\))*\)'
-_EDGE = r"(?<![\p{L}'’])(?:", r")(?![\p{L}'’])"
-#: Letters and signs that UTF-8 text read in a single-byte code page is full of, and that text in its languages isn't.
-_DEBRIS = r"[Ѐ-Џѐ-џҐґ°±µ¶·¤¦§©¬®«»№‚„†‡€‰‹›™�]"
-_LATIN_DEBRIS = r"[ÃÂ][\x{80}-\x{bf}€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ ]|â€|ï¿½|�"
-
-
-def _count(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern))
-
-
-def line_counts(df: DataFrame, id_col: str, text_col: str, title_lines: bool = True) -> DataFrame:
-    """One row a non-blank line with its counts; the page's title line, source line and comment placeholder are left out."""
-    words = _EDGE[0] + "|".join(sorted({w for ws in COMMON.values() for w in ws})) + _EDGE[1]
-    raw = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    lines = raw.select("id", F.posexplode(F.split(F.ltrim(F.regexp_replace("text", r"^\s+", "")), r"\n")).alias("p", "line")).select("id", "p", F.regexp_replace("line", r"^[\s　]+|[\s　]+$", "").alias("line"))
-    furniture = F.col("line").rlike(r"(?i)^>\s*source\s*:|^loading comments\W*$")
-    if title_lines:
-        furniture |= (F.col("p") == 0) & F.col("line").rlike(r"^#\s")
-    kept = lines.where((F.length("line") > 0) & ~furniture)
-    text = kept.select("id", F.regexp_replace(F.regexp_replace("line", _LINK, "$1"), _LINK, "$1").alias("t"))
-    low = F.lower("t")
-    ws = F.regexp_extract_all(low, F.lit(_WORD), F.lit(0))
-    c = text.select(
-        "id", "t", F.length(F.regexp_replace("t", r"\s+", "")).alias("chars"), F.size(ws).alias("words"), F.size(F.array_distinct(ws)).alias("distinct"), F.length(F.regexp_replace("t", r"[^\p{L}]+", "")).alias("letters"), _count(low, words).alias("common")
-    )
-    return c.select(
-        "*",
-        _count(F.col("t"), r"\p{Alnum}|\p{L}|\p{N}").alias("alnum"),
-        (F.length("t") - F.length(F.translate("t", "|\t", ""))).alias("bars"),
-        _count(F.col("t"), r"\S {2,}\S").alias("gaps"),
-        _count(F.col("t"), _DEBRIS + "|" + _LATIN_DEBRIS).alias("debris"),
-        _count(F.col("t"), r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]").alias("cjk"),
-        F.size(F.array_distinct(F.regexp_extract_all("t", F.lit(r"\p{IsHiragana}"), F.lit(0)))).alias("kana"),
-        F.col("t").rlike(r"[.!?…:;。！？][\"'”’)\]*_]*$").alias("ended"),
-        F.col("t").rlike(r"^(?:[-*•–—·]|\d+[.)])\s").alias("bullet"),
-        F.col("t").rlike(r"^(?:#{1,6}\s|!?\[)").alias("heading"),
+_LINK = re.compile(r"!?\[([^\[\]\n]*+(?:\[[^\[\]\n]*+\][^\[\]\n]*+){0,4})\]\([^()\n]*+(?:\([^()\n]*+\)[^()\n]*+)*+\)")
+_SOURCE = re.compile(r"(?im)^[ \t]*>[ \t]*source[ \t]*:.*$|^[ \t]*loading comments\W{0,9}$")
+_TITLE = re.compile(r"\A\s*#\s[^\n]*")
+
+LETTER, NUMBER, BLANK, CJK, KANA, DEBRIS, ENDER, CLOSER = (1 << i for i in range(8))
+# Letters and signs that UTF-8 text read in a single-byte code page is full of.
+_DEBRIS_CHARS = "ҐґÃÂ°±µ¶·¤¦§©¬®«»№‚„†‡€‰‹›™�" + "".join(map(chr, [*range(0x400, 0x410), *range(0x450, 0x460)]))
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_tables: dict[str, np.ndarray] = {}
+
+
+def _classes() -> np.ndarray:
+    """Classes of every code point, as bits."""
+    if "classes" not in _tables:
+        t = np.zeros(0x110000, np.uint8)
+        for c in range(0x110000):
+            kind = unicodedata.category(chr(c))
+            if kind[0] == "L":
+                t[c] |= LETTER
+            elif kind[0] == "N":
+                t[c] |= NUMBER
+            elif kind[0] == "Z" or 9 <= c <= 13 or 28 <= c <= 31 or c == 0x85:
+                t[c] |= BLANK
+        t[0x3040:0x3100] |= CJK
+        t[0x3400:0xA000] |= CJK
+        t[0x20000:0x30000] |= CJK
+        t[0x3041:0x3097] |= KANA
+        for chars, bit in ((_DEBRIS_CHARS, DEBRIS), (".!?…:;。！？", ENDER), ("\"'”’)]*_", CLOSER)):
+            for c in chars:
+                t[ord(c)] |= bit
+        _tables["classes"] = t
+    return _tables["classes"]
+
+
+def _hash_words(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each slice of code points: their sum after mixing with the place in the word."""
+    n = ends - starts
+    place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    at = np.repeat(starts, n) + place
+    x = (points[at].astype(np.uint64) + (place.astype(np.uint64) << np.uint64(24))) * _FACTOR
+    x ^= x >> np.uint64(32)
+    x *= _FACTOR
+    return np.add.reduceat(x, np.cumsum(n) - n) if len(n) else x[:0]
+
+
+def _common_hashes() -> np.ndarray:
+    if "common" not in _tables:
+        words = sorted({w for ws in COMMON.values() for w in ws})
+        points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        n = np.array([len(w) for w in words])
+        ends = np.cumsum(n)
+        _tables["common"] = np.sort(_hash_words(points, ends - n, ends))
+    return _tables["common"]
+
+
+def line_counts(texts: list[str], title_lines: bool = True) -> pd.DataFrame:
+    """One row a non-blank line of the texts with its counts; `doc` is the place in the list.
+
+    With title_lines, a leading title line, source lines and comment placeholders are left out. A link counts by its anchor text.
+    """
+    cleaned = []
+    for text in texts:
+        if title_lines:
+            text = _SOURCE.sub("", _TITLE.sub("", text))
+        if "](" in text:
+            text = _LINK.sub(r"\1", _LINK.sub(r"\1", text))
+        cleaned.append(text)
+    whole = "\n".join(cleaned) + "\n"
+    points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+    small = np.frombuffer(_lower(whole).encode("utf-32-le", "surrogatepass"), np.uint32)
+    classes = _classes()[points]
+    has = lambda bit: (classes & bit) > 0
+    breaks = np.flatnonzero(points == 10)
+    starts = np.r_[0, breaks[:-1] + 1]
+    line_of = np.repeat(np.arange(len(breaks)), breaks - starts + 1)
+    per_line = lambda mask: np.add.reduceat(mask.astype(np.int32), starts)
+    letter, blank = has(LETTER), has(BLANK)
+    apart = (points == 39) | (points == 0x2019)
+    apart[1:-1] &= letter[:-2] & letter[2:]
+    wordy = letter | apart
+    begin = np.flatnonzero(wordy & ~np.r_[False, wordy[:-1]])
+    end = np.flatnonzero(wordy & ~np.r_[wordy[1:], False]) + 1
+    word_line = line_of[begin]
+    hashes = _hash_words(small, begin, end)
+    pairs = np.unique(np.stack([word_line.astype(np.uint64), hashes]), axis=1)[0].astype(np.int64) if len(begin) else begin
+    common = _common_hashes()
+    at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+    n = len(breaks)
+    idx = np.arange(len(points))
+    first = np.minimum.reduceat(np.where(blank, len(points), idx), starts)
+    last = np.maximum.reduceat(np.where(blank | has(CLOSER), -1, idx), starts)
+    ink = first < len(points)
+    f, a = np.minimum(first, len(points) - 1), np.maximum(last, 0)
+    digits = (points >= 48) & (points <= 57)
+    stop = np.minimum.accumulate(np.where(digits, len(points), idx)[::-1])[::-1]
+    s = np.minimum(stop[f], len(points) - 2)
+    numbered = digits[f] & ((points[s] == 46) | (points[s] == 41)) & blank[s + 1]
+    marked = np.isin(points[f], [ord(c) for c in "-*•–—·"]) & blank[np.minimum(f + 1, len(points) - 1)]
+    space = points == 32
+    gap = space & np.r_[space[1:], False] & ~np.r_[True, blank[:-1]]
+    kana = np.unique(np.stack([line_of[has(KANA)], points[has(KANA)].astype(np.int64)]), axis=1)[0] if has(KANA).any() else np.empty(0, np.int64)
+    out = pd.DataFrame(
+        {
+            "chars": per_line(~blank),
+            "letters": per_line(letter),
+            "alnum": per_line(letter | has(NUMBER)),
+            "words": np.bincount(word_line, minlength=n),
+            "distinct": np.bincount(pairs, minlength=n),
+            "common": np.bincount(word_line, weights=common[at] == hashes, minlength=n).astype(np.int64),
+            "bars": per_line(points == 124),
+            "tabs": per_line((points == 9) & (idx > f[line_of])),
+            "gaps": per_line(gap),
+            "debris": per_line(has(DEBRIS)),
+            "cjk": per_line(has(CJK)),
+            "kana": np.bincount(kana, minlength=n),
+            "ended": ink & (last >= 0) & ((classes[a] & ENDER) > 0),
+            "bullet": ink & (numbered | marked),
+            "heading": ink & np.isin(points[f], [35]),
+            "row": ink & (points[f] == 124),
+        }
     )
+    lengths = np.array([c.count("\n") + 1 for c in cleaned], np.int64) if cleaned else np.empty(0, np.int64)
+    out.insert(0, "doc", np.repeat(np.arange(len(cleaned)), lengths)[:n])
+    return out[ink]
+
+
+def _lower(text: str) -> str:
+    """Lower case with as many characters as before."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
 
+def running_text(c: pd.DataFrame) -> pd.Series:
+    """Whether each line is running text."""
+    table = (c["bars"] >= 2) | c["row"] | (c["tabs"] > 0)
+    gapped = (c["gaps"] >= 3) & (c["common"] < 0.12 * c["words"])
+    repeated = (c["words"] >= 8) & (c["distinct"] < np.minimum(0.34 * c["words"], 2 * np.sqrt(c["words"])))
+    spaced = c["letters"] < 2.0 * c["words"]
+    asian = (c["cjk"] >= 0.3 * c["chars"]) & (c["kana"] >= 3)
+    spoken = (c["words"] >= 4) & (c["common"] >= 1) & (c["common"] >= 0.12 * c["words"]) & (c["letters"] >= 0.6 * c["chars"]) & ~repeated & ~spaced
+    return ~table & ~gapped & (c["debris"] <= 0.08 * c["chars"]) & (asian | spoken)
 
-def _prose() -> Column:
-    table = (F.col("bars") >= 2) | F.col("t").startswith("|") | F.col("t").contains("\t")
-    gapped = (F.col("gaps") >= 3) & (F.col("common") < 0.12 * F.col("words"))
-    repeated = (F.col("words") >= 8) & (F.col("distinct") < F.least(0.34 * F.col("words"), 2 * F.sqrt("words")))
-    spaced = F.col("letters") < 2.0 * F.col("words")
-    asian = (F.col("cjk") >= 0.3 * F.col("chars")) & (F.col("kana") >= 3)
-    spoken = (F.col("words") >= 4) & (F.col("common") >= 1) & (F.col("common") >= 0.12 * F.col("words")) & (F.col("letters") >= 0.6 * F.col("chars")) & ~repeated & ~spaced
-    return ~table & ~gapped & (F.col("debris") <= 0.08 * F.col("chars")) & (asian | spoken)
+
+_SUMS = ["lines", "chars", "words", "letters", "common", "cjk", "symbols", "ended", "bullets", "prose", "headings"]
+
+
+def _stats(title_lines: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for lo in range(0, len(pdf), 1000):
+                part = pdf.iloc[lo : lo + 1000]
+                c = line_counts(part["text"].tolist(), title_lines)
+                prose = running_text(c)
+                c = c.assign(
+                    lines=1, symbols=c["chars"] - c["alnum"], bullets=c["bullet"], prose=np.where(prose, c["chars"], 0), headings=np.where(c["heading"] & ~prose, c["chars"], 0)
+                )
+                sums = c.groupby("doc")[_SUMS].sum().astype(np.int64)
+                yield sums.assign(id=part["id"].to_numpy()[sums.index]).reset_index(drop=True)
+
+    return run
 
 
 def quality(df: DataFrame, id_col: str, text_col: str, title_lines: bool = True) -> DataFrame:
     """One row a document that has a non-blank line beside its furniture: statistics, prose_share and the reasons of failed rules.
 
-    Null, empty and blank texts, and texts of furniture only, give no row. Rows with equal ids are one document. Extra columns are ignored.
+    Null, empty and blank texts, and texts of furniture only, give no row. Rows with equal ids give a row each. Extra columns are ignored.
     """
-    lines = line_counts(spread(df.select(id_col, text_col).where(F.col(text_col).isNotNull())), id_col, text_col, title_lines).withColumn("prose", _prose())
-    total = lambda c: F.sum(c).cast("bigint")
-    sums = lines.groupBy("id").agg(
-        F.count("*").alias("lines"), total("chars").alias("chars"), total("words").alias("words"), total("letters").alias("letters"), total("common").alias("common_words"), total("cjk").alias("cjk"), total(F.col("chars") - F.col("alnum")).alias("symbols"), total(F.col("ended").cast("int")).alias("ended"), total(F.col("bullet").cast("int")).alias("bullets"), total(F.when(F.col("prose"), F.col("chars")).otherwise(0)).alias("prose"), total(F.when(F.col("heading") & ~F.col("prose"), F.col("chars")).otherwise(0)).alias("headings")
-    )
+    docs = spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL"))
+    sums = docs.mapInPandas(_stats(title_lines), ", ".join(f"{c} long" for c in [*_SUMS, "id"]))
     n = F.greatest("chars", F.lit(1))
     stats = sums.select(
-        "id", "lines", "chars", "words", "common_words",
+        "id", "lines", "chars", "words", F.col("common").alias("common_words"),
         (F.col("letters") / F.greatest("words", F.lit(1))).alias("mean_word_length"),
         (F.col("symbols") / n).alias("symbol_share"),
         (F.col("letters") / n).alias("letter_share"),
