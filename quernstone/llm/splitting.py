@@ -77,7 +77,7 @@ def split_texts(df: DataFrame, id_col: str, text_col: str, limit: int = 8000, ov
     """(id, piece_no, n_pieces, start, end, piece) for every row; a text within the limit is one piece.
 
     Lengths are in Unicode code points. start and end are places in the text; piece_no counts from 1. Null texts have no
-    pieces; an empty text is one empty piece. Rows with equal ids are split on their own. Needs 0 <= overlap < limit / 2.
+    pieces; an empty text is one empty piece. Rows with a null id are left out; rows with equal ids are split on their own. Needs 0 <= overlap < limit / 2.
     A part shorter than the overlap (a boundary stands there) passes on all the text before it that fits, so
     that every piece after the first still begins with the last `overlap` characters of the one before.
     """
@@ -88,5 +88,5 @@ def split_texts(df: DataFrame, id_col: str, text_col: str, limit: int = 8000, ov
         + [T.StructField(c, T.IntegerType()) for c in ("piece_no", "n_pieces", "start", "end")]
         + [T.StructField("piece", T.StringType())]
     )
-    texts = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL"))
+    texts = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL"))
     return texts.mapInPandas(_pieces(limit, overlap), kind)
