@@ -1,8 +1,8 @@
 """All queries of this subpackage with their SQL."""
 
-from quernstone.llm import queries_boilerplate, queries_lines, queries_near, queries_quality, queries_split, queries_tokens
+from quernstone.llm import queries_abuse, queries_boilerplate, queries_lines, queries_near, queries_quality, queries_split, queries_tokens
 
-MODULES = [queries_near, queries_quality, queries_boilerplate, queries_split, queries_lines, queries_tokens]
+MODULES = [queries_near, queries_quality, queries_boilerplate, queries_split, queries_lines, queries_tokens, queries_abuse]
 
 
 def queries() -> dict:
