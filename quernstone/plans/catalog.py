@@ -1,8 +1,8 @@
 """All queries of the core with their SQL, from the modules of this folder."""
 
-from quernstone.plans import relational
+from quernstone.plans import corpus, relational, rules, storage, streams
 
-MODULES = [relational]
+MODULES = [relational, corpus, rules, streams, storage]
 
 
 def queries() -> dict:

@@ -477,15 +477,15 @@ def q51(spark: SparkSession, d: str) -> DataFrame:
 
     e = T(spark, d, "embeddings")
     q = e.where("vec_id = 0").select(F.col("embedding").alias("q"))
-    return e.join(F.broadcast(q)).select("vec_id", F.round(cosine("embedding", "q"), 5).alias("cosine"))
+    return e.withColumn("q", q.scalar()).select("vec_id", F.round(cosine("embedding", "q"), 5).alias("cosine"))
 
 
 @query("q52_tablesample", "SELECT true AS within")
 def q52(spark: SparkSession, d: str) -> DataFrame:
     """Bernoulli sampling with a fixed seed: the share drawn is near the share asked for."""
     o = T(spark, d, "orders")
-    s = o.sample(0.1, seed=7).agg(F.count("*").alias("s"))
-    return o.agg(F.count("*").alias("n")).join(s).select((F.abs(F.col("s") / F.col("n") - 0.1) < 0.05).alias("within"))
+    s = o.sample(0.1, seed=7).agg(F.count("*").alias("s")).scalar()
+    return o.agg(F.count("*").alias("n")).select((F.abs(s / F.col("n") - 0.1) < 0.05).alias("within"))
 
 
 @query(
