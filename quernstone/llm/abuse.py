@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.abuse_lexicon import CUES, LEET, LOOKALIKES, WORDS
+from quernstone.llm.abuse_lexicon import CUES, LEET, LOOKALIKES, REAL_WORDS, WORDS
 from quernstone.sources.scratch import materialize
 from quernstone.sources.tables import spread
 
@@ -93,22 +93,16 @@ def _letters(text: str) -> str:
     return "".join(c for c in flat if unicodedata.category(c) not in ("Mn", "Cf", "Me"))
 
 
-def _lacking(words: list[str]) -> list[str]:
-    """The longer words with one letter left out (not the first), sorted: as written they may be words of their own."""
-    return sorted({w[:i] + w[i + 1 :] for w in words if len(w) >= 5 for i in range(1, len(w))} - set(words))
-
-
-_SHORT = _lacking(WORDS)
-_SHORT_AT = {w: i for i, w in enumerate(_SHORT)}
+#: The longer words with one letter left out (not the first), but for those that are words of their own.
+_SHORT = {w[:i] + w[i + 1 :] for w in WORDS if len(w) >= 5 for i in range(1, len(w))} - set(WORDS) - REAL_WORDS
 _CELLS = 28**3
 
 
 class Restorer:
-    """Restores tokens. `counts` are of trigrams over 28 signs (blank, a to z, other), then of the words in _SHORT, then of all words."""
+    """Restores tokens. `counts` are of trigrams over 28 signs: blank, a to z, other."""
 
     def __init__(self, counts: np.ndarray, words: list[str] = WORDS):
-        t = counts[:_CELLS].reshape(28, 28, 28) + 0.05
-        self.own = -np.log((counts[_CELLS:-1] + 1e-9) / (counts[-1] + 1))
+        t = counts.reshape(28, 28, 28) + 0.05
         self.cost = -np.log(t / t.sum(axis=2, keepdims=True))
         self.next: list[dict[str, int]] = [{}]
         self.word_at: list[str | None] = [None]
@@ -125,11 +119,10 @@ class Restorer:
         self.known: dict[str, str] = {}
 
     def plain_cost(self, token: str) -> float:
-        """The token as it stands: trigram cost of its letters, and a charge for each sign among them; for a word of _SHORT, the cost of its own count if less."""
+        """The token as it stands: trigram cost of its letters, and a charge for each sign among them."""
         codes = [0, 0] + [ord(c) - 96 if "a" <= c <= "z" else 27 for c in token if c.isalpha()] + [0]
         total = sum(self.cost[a, b, c] for a, b, c in zip(codes, codes[1:], codes[2:]))
-        total = float(total) + EXTRA_SIGN * sum(not c.isalpha() for c in token)
-        return min(total, float(self.own[_SHORT_AT[token]])) if token in _SHORT_AT else total
+        return float(total) + EXTRA_SIGN * sum(not c.isalpha() for c in token)
 
     def read(self, token: str) -> tuple[str | None, float]:
         """The cheapest reading of the token as a word, by Viterbi search over the character lattice."""
@@ -168,7 +161,7 @@ class Restorer:
         if core in self.words or len(core) > LONGEST_TOKEN:
             return core
         mixed = not core.isascii() and any(c in LOOKALIKES for c in core) and (any("a" <= c <= "z" for c in core) or all(c in LOOKALIKES for c in core if c.isalpha()))
-        odd = mixed or _INNER.search(core) and not _DICE.match(core) or _DOTTED.match(core) or _THRICE.search(core) or core in _SHORT_AT
+        odd = mixed or _INNER.search(core) and not _DICE.match(core) or _DOTTED.match(core) or _THRICE.search(core) or core in _SHORT
         if not odd:
             return core
         word, cost = self.read(core)
@@ -226,7 +219,7 @@ def hits(restorer: Restorer, text: str) -> list[int]:
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The character model's counts over a task's texts."""
-    total = np.zeros(_CELLS + len(_SHORT) + 1)
+    total = np.zeros(_CELLS)
     for pdf in batches:
         words: Counter = Counter()
         for text in pdf["text"]:
@@ -244,16 +237,13 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             tri = codes[:-2] * 784 + codes[1:-1] * 28 + codes[2:]
             times = np.fromiter(plain.values(), np.float64, len(plain))
             weight = np.repeat(times, [len(w) + 2 for w in plain])[: len(tri)]
-            total[:_CELLS] += np.bincount(tri, weights=weight, minlength=_CELLS)
-            total[-1] += times.sum()
-            for w in _SHORT_AT.keys() & plain.keys():
-                total[_CELLS + _SHORT_AT[w]] += plain[w]
+            total += np.bincount(tri, weights=weight, minlength=_CELLS)
     if total.any():
         yield pd.DataFrame({"counts": [zlib.compress(total.tobytes(), 1)]})
 
 
 def _add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total = np.zeros(_CELLS + len(_SHORT) + 1)
+    total = np.zeros(_CELLS)
     for pdf in batches:
         for blob in pdf["counts"]:
             total += np.frombuffer(zlib.decompress(blob))
@@ -274,7 +264,7 @@ def cue_hits(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = df.sparkSession
     docs = spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL"))
     counted = docs.select("text").mapInPandas(_count, "counts binary").repartition(1).mapInPandas(_add, "counts binary").collect()
-    shared = spark.sparkContext.broadcast(counted[0].counts if counted else zlib.compress(np.zeros(_CELLS + len(_SHORT) + 1).tobytes()))
+    shared = spark.sparkContext.broadcast(counted[0].counts if counted else zlib.compress(np.zeros(_CELLS).tobytes()))
     return docs.mapInPandas(_hits(shared), "id long, hits array<int>").where(F.size("hits") > 0)
 
 

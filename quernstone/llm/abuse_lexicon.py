@@ -49,6 +49,12 @@ verpiss fresse arschloch wichser vollpfosten drecksack ungeziefer ausgerottet ab
 connard salaud abruti gueule crever vermine eliminer imbecil idiota gilipollas cabron mierda callate ratas apesta asco
 """.split()
 
+#: Words of their own that some word above becomes when a letter is left out.
+REAL_WORDS = set("""
+animal animas baten beasts bled breast breasts brests breed choke chokes clothe cloths cokes creer dirt filth garage girl horn knee lickd liked lose loses maned moon moons morn moth muth nake pick pities
+rata refugee refuges salad salud scramed single singes skull stare stave striped thieve thigh tash video wast wate whol wied wipe wore
+""".split())
+
 #: What a sign in a disguised word may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c"}
 #: Letters of other scripts that look like Latin ones.

@@ -9,6 +9,8 @@ that holds a third of all rows is pre-aggregated on the map side and spread by h
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.sources.tables import spread
+
 #: White space as Unicode has it, and the separators U+001C to U+001F.
 _SPACE = r"[\s\x0b\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
@@ -38,6 +40,7 @@ def repeated_lines(df: DataFrame, id_col: str, source_col: str, text_col: str, m
     A null source is a source of its own. Lines of fewer than min_words words are never repeated lines. Rows with equal
     ids count as one document. Null texts give nothing; an empty table gives an empty result.
     """
+    df = spread(df.select(id_col, source_col, text_col))
     hashed = _hashed(lines(df, id_col, source_col, text_col), min_words)
     docs = hashed.groupBy("source", "h1", "h2", "id").agg(F.lit(1).alias("one"))
     counts = docs.groupBy("source", "h1", "h2").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
