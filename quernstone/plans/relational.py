@@ -243,10 +243,10 @@ def q24(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "q25_quantiles",
-    "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 2) AS median, round(quantile_cont(l_extendedprice, 0.9), 2) AS p90, mode(l_quantity) IS NOT NULL AS has_mode FROM lineitem GROUP BY 1",
+    "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 4) AS median, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90, mode(l_quantity) IS NOT NULL AS has_mode FROM lineitem GROUP BY 1",
 )
 def q25(spark: SparkSession, d: str) -> DataFrame:
-    p = lambda q: r2(F.percentile("l_extendedprice", q))
+    p = lambda q: F.round(F.percentile("l_extendedprice", q), 4)
     return T(spark, d, "lineitem").groupBy("l_returnflag").agg(p(0.5).alias("median"), p(0.9).alias("p90"), F.mode("l_quantity").isNotNull().alias("has_mode"))
 
 
