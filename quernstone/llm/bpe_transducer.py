@@ -18,9 +18,12 @@ remembered in a table of bounded size.
 
 import array
 import binascii
+import re
 
 import regex
 
+_CUT = re.compile(r"(?<=\S)(?= \S)")
+
 
 class Vocabulary:
     """Ranks of a byte-level BPE vocabulary; the rank of a token is its id and its merge order."""
@@ -63,11 +66,10 @@ class Vocabulary:
         """The two tokens whose merge makes this one; None for a single byte."""
         got = self._parts.get(token, 0)
         if got == 0:
-            data = self.bytes_of[token]
-            got = None
-            if len(data) > 1:
-                ids = self.merge(data, token)
-                got = (ids[0], ids[1])
+            data, rank = self.bytes_of[token], self.rank
+            cuts = [(a, b) for i in range(1, len(data)) if (a := rank.get(data[:i], token)) < token and (b := rank.get(data[i:], token)) < token]
+            # Where several cuts would do, the merges themselves tell; a token of several bytes has at least one.
+            got = None if len(data) == 1 else cuts[0] if len(cuts) == 1 else tuple(self.merge(data, token))
             self._parts[token] = got
         return got
 
@@ -101,7 +103,7 @@ class Vocabulary:
 
 
 class Transducer:
-    """Encodes byte strings. A state is a tuple of open prefixes (trie node, last token), the longest rest first."""
+    """Encodes byte strings. A state is a tuple of open prefixes, the longest rest first: trie node << 20 | last token + 1."""
 
     MOST_STATES = 400_000
     #: Bytes after which decided tokens are emitted while more input comes.
@@ -113,7 +115,7 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
-        start = ((0, -1),)
+        start = (0,)
         self.numbers: dict[tuple, int] = {start: 0}
         self.states: list[tuple] = [start]
         self.last: list[int] = [-1]
@@ -121,23 +123,24 @@ class Transducer:
 
     def _transition(self, at: int, byte: int) -> int:
         v, open_, last = self.v, [], -1
-        child, token_at, inner, known = v.child, v.token_at, v.inner, v.known
-        for node, before in self.states[at]:
-            to = child.get(node << 8 | byte)
+        get, token_at, inner, known = v.child.get, v.token_at, v.inner, v.known
+        for prefix in self.states[at]:
+            to = get(prefix >> 20 << 8 | byte)
             if to is not None:
+                before = prefix & 0xFFFFF
                 if last < 0:
                     token = token_at[to]
                     if token >= 0:
-                        fine = before < 0 or known.get(before << 20 | token)
+                        fine = not before or known.get(before - 1 << 20 | token)
                         if fine is None:
-                            fine = v.stable(before, token)
+                            fine = v.stable(before - 1, token)
                         if fine:
                             last = token
                 if inner[to]:
-                    open_.append((to, before))
+                    open_.append(to << 20 | before)
         if last < 0:
             raise ValueError("the vocabulary lacks single bytes")
-        open_.append((0, last))
+        open_.append(last + 1)
         state = tuple(open_)
         number = self.numbers.get(state)
         if number is None:
@@ -158,7 +161,7 @@ class Transducer:
 
     def _decided(self, ends: list[int], at: int) -> int:
         """Where the encodings of all open prefixes meet."""
-        places = {len(ends) - self.v.depth[node] for node, _ in self.states[at]}
+        places = {len(ends) - self.v.depth[node] for node in (p >> 20 for p in self.states[at])}
         while len(places) > 1:
             far = max(places)
             places.remove(far)
@@ -217,19 +220,10 @@ class Encoder:
         A blank between two characters that are no white space always begins a pre-token, so the text is
         encoded in chunks cut there.
         """
-        known, held, first = self.chunks, "", True
-        for part in text.split(" "):
-            if first:
-                held, first = part, False
-            elif not part or part[0].isspace() or not held or held[-1].isspace():
-                held = f"{held} {part}"
-            else:
-                ids = known.get(held)
-                out.extend(ids if ids is not None else self._chunk(held))
-                held = f" {part}"
-        if held:
-            ids = known.get(held)
-            out.extend(ids if ids is not None else self._chunk(held))
+        get, more = self.chunks.get, out.extend
+        for chunk in _CUT.split(text):
+            ids = get(chunk)
+            more(self._chunk(chunk) if ids is None else ids)
 
 
 class Decoder:
