@@ -39,7 +39,7 @@ SLACK = 0.03
 #: Postings of one shingle that stay one list; longer lists are split into a grid.
 LIST_ROWS = 100_000
 #: Postings that one bucket of the index holds, about.
-BUCKET_ROWS = 1_000_000
+BUCKET_ROWS = 400_000
 #: Candidate pairs that one verification block holds, about.
 BLOCK_PAIRS = 20_000
 BLOOM_BITS = 23
@@ -428,7 +428,9 @@ def near_duplicates(
     ends = cand.select(F.col("a").alias("v"), F.col("b").alias("u")).union(cand.select("b", "a"))
     labels = ends.groupBy("v").agg(F.least(F.min("u"), F.first("v")).alias("label"))
     keyed = cand.join(labels.withColumnRenamed("v", "a"), "a")
-    wide = keyed.groupBy("label").count().select("label", F.ceil(F.sqrt(F.col("count") / block_pairs)).cast("int").alias("grid"))
+    # A block is bounded in pairs, and in sets where many texts have few pairs each.
+    size = keyed.groupBy("label").agg(F.count("*").alias("pairs"), (F.approx_count_distinct("a") + F.approx_count_distinct("b")).alias("texts"))
+    wide = size.select("label", F.greatest(F.ceil(F.sqrt(F.col("pairs") / block_pairs)), F.ceil(F.col("texts") / block_pairs)).cast("int").alias("grid"))
     keyed = materialize(
         keyed.join(wide, "label").select("a", "b", "label", F.pmod(F.xxhash64("a"), "grid").alias("i"), F.pmod(F.xxhash64("b"), "grid").alias("j")), "blocks"
     )

@@ -6,6 +6,7 @@ the JVM. Counting goes in two steps, (source, hash, document) before (source, ha
 that holds a third of all rows is pre-aggregated on the map side and spread by hash.
 """
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,10 +54,22 @@ def repeated_lines(df: DataFrame, id_col: str, source_col: str, text_col: str, m
     return hashed.join(c, on, "left_semi").select("id", "line_no")
 
 
+@F.pandas_udf("string")
+def _rebuilt(text: pd.Series, drop: pd.Series) -> pd.Series:
+    """Texts without the lines of these numbers, in time linear in their length."""
+    out = []
+    for t, d in zip(text, drop):
+        if t is not None and d is not None:
+            gone = set(d)
+            t = "\n".join(s for n, s in enumerate(t.split("\n"), 1) if n not in gone)
+        out.append(t)
+    return pd.Series(out, dtype=object)
+
+
 def without_lines(df: DataFrame, id_col: str, text_col: str, found: DataFrame) -> DataFrame:
-    """df with `text_col` rebuilt without the lines in `found` (id, line_no). Other columns and rows stay, null texts stay null."""
-    drop = found.groupBy(F.col("id").alias("_id")).agg(F.sort_array(F.collect_set("line_no")).alias("_drop"))
-    kept = F.filter(
-        F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(F.coalesce(F.col("_drop"), F.array().cast("array<bigint>")), (i + 1).cast("long"))
-    )
-    return df.join(drop, df[id_col] == F.col("_id"), "left").withColumn(text_col, F.array_join(kept, "\n")).drop("_id", "_drop")
+    """df with `text_col` rebuilt without the lines in `found` (id, line_no). Other columns and rows stay, null texts stay null.
+
+    Rows with equal ids lose the same lines.
+    """
+    drop = found.groupBy(F.col("id").alias("__drop_id")).agg(F.collect_set("line_no").alias("__drop"))
+    return df.join(drop, F.col(id_col) == F.col("__drop_id"), "left").withColumn(text_col, _rebuilt(text_col, "__drop")).drop("__drop_id", "__drop")
