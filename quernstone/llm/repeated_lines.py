@@ -9,6 +9,7 @@ that holds a third of all rows is pre-aggregated on the map side and spread by h
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quernstone.sources.tables import spread
 
@@ -54,7 +55,7 @@ def repeated_lines(df: DataFrame, id_col: str, source_col: str, text_col: str, m
     return hashed.join(c, on, "left_semi").select("id", "line_no")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _rebuilt(text: pd.Series, drop: pd.Series) -> pd.Series:
     """Texts without the lines of these numbers, in time linear in their length."""
     out = []
