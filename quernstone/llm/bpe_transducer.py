@@ -172,47 +172,45 @@ class Transducer:
         """Token ids of one pre-token."""
         if len(self.states) > self.MOST_STATES:
             self._reset()
-        out, ends, at, step, last = [], [], 0, self.step, self.last
+        out, ends, at, get, last, window = [], [], 0, self.step.get, self.last, self.WINDOW
         for byte in data:
-            to = step.get(at << 8 | byte)
+            to = get(at << 8 | byte)
             at = self._transition(at, byte) if to is None else to
             ends.append(last[at])
-            if len(ends) > self.WINDOW:
+            if len(ends) > window:
                 upto = self._decided(ends, at)
                 out += self._chain(ends, upto)
                 del ends[:upto]
-        out += self._chain(ends, len(ends))
-        return out
+        return out + self._chain(ends, len(ends)) if out else self._chain(ends, len(ends))
 
 
 class Encoder:
     """Texts to ids under the public pre-token pattern, strings of special tokens being ordinary text."""
 
-    MOST_CHUNKS = 400_000
+    MOST_CHUNKS = 500_000
 
     def __init__(self, path: str, pattern: str):
         self.transducer = Transducer(Vocabulary(path))
         self.pattern = regex.compile(pattern)
+        #: Ids of chunks and of the pre-tokens in them.
         self.chunks: dict[str, array.array] = {}
-        self.words: dict[str, list[int]] = {}
 
-    def _chunk(self, chunk: str) -> array.array:
-        ids: list[int] = []
-        for piece in self.pattern.findall(chunk):
-            got = self.words.get(piece)
-            if got is None:
-                got = self.transducer.encode(piece.encode("utf-8", "surrogatepass"))
-                if len(piece) <= 40:
-                    if len(self.words) > self.MOST_CHUNKS:
-                        self.words.clear()
-                    self.words[piece] = got
-            ids += got
-        got = array.array("i", ids)
-        if len(chunk) <= 40:
+    def _keep(self, text: str, ids: array.array) -> array.array:
+        if len(text) <= 40:
             if len(self.chunks) > self.MOST_CHUNKS:
                 self.chunks.clear()
-            self.chunks[chunk] = got
-        return got
+            self.chunks[text] = ids
+        return ids
+
+    def _chunk(self, chunk: str) -> array.array:
+        pieces = self.pattern.findall(chunk)
+        if len(pieces) == 1:
+            return self._keep(chunk, array.array("i", self.transducer.encode(chunk.encode("utf-8", "surrogatepass"))))
+        out, get = array.array("i"), self.chunks.get
+        for piece in pieces:
+            got = get(piece)
+            out += got if got is not None else self._keep(piece, array.array("i", self.transducer.encode(piece.encode("utf-8", "surrogatepass"))))
+        return self._keep(chunk, out)
 
     def encode(self, text: str, out: array.array) -> None:
         """Appends the ids of `text` to `out`.
