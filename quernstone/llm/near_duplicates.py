@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.llm.components import components
 from quernstone.sources.scratch import materialize
 from quernstone.sources.tables import spread
 
@@ -469,3 +470,12 @@ def classes(members: DataFrame, pairs: DataFrame) -> DataFrame:
     links = pairs.select(F.col("sig_a").alias("sig")).union(pairs.select("sig_b")).groupBy("sig").agg(F.count("*").alias("links"))
     per = per.join(links, "sig", "left").select("sig", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
     return members.select("id", "sig").distinct().join(per, "sig").select("id", "class_id", "copies", "links")
+
+
+def groups(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One row a document: (id, group_id, size). Groups are the connected components of similar classes; group_id is the least id in it."""
+    roots = components(pairs, "sig_a", "sig_b")
+    m = members.select("id", "sig").distinct()
+    rooted = m.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("id", F.coalesce("root", "sig").alias("root"))
+    per = rooted.groupBy("root").agg(F.min("id").alias("group_id"), F.count_distinct("id").alias("size"))
+    return rooted.join(per, "root").select("id", "group_id", "size").distinct()

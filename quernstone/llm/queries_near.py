@@ -20,5 +20,10 @@ def p1_classes(spark: SparkSession, d: str) -> DataFrame:
     return nd.classes(*_join(spark, d)).withColumnRenamed("id", "page_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes}
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    """One row a page: the group of pages it belongs to."""
+    return nd.groups(*_join(spark, d)).withColumnRenamed("id", "page_id")
+
+
+QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p1_groups": p1_groups}
 ORACLES: dict[str, str] = {}

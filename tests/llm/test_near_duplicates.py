@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from quernstone.llm import near_duplicates as nd
+from quernstone.llm.components import components
 
 
 def brute(docs, n, t):
@@ -53,6 +54,34 @@ def test_same_pairs_as_brute_force(spark, seed, n, t, list_rows, block):
     assert len({r.id for r in rows}) == len(rows) == len({i for i, x in docs if i is not None and len(re.findall(r"[^\W_]+", x or "")) >= n})
 
 
+def test_groups_are_components(spark):
+    docs = corpus(6)
+    members, pairs = nd.near_duplicates(spark.createDataFrame(docs, "id long, text string"), "id", "text", 3, 0.6)
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in brute(docs, 3, 0.6):
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    rows = nd.groups(members, pairs).collect()
+    assert all(r.group_id == find(r.id) for r in rows) and len(rows) == len({r.id for r in rows})
+    sizes = {}
+    for r in rows:
+        sizes[r.group_id] = sizes.get(r.group_id, 0) + 1
+    assert all(r.size == sizes[r.group_id] for r in rows)
+
+
+def test_components_of_long_paths_and_hubs(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (None, 3), (200, 201), (201, 200), (200, 201)]
+    got = {tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    assert got == {(i, 0) for i in range(1, 41)} | {(100 + i, 100) for i in range(1, 30)} | {(201, 200)}
+    assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
 def test_empty_table(spark):
     members, pairs = nd.near_duplicates(spark.createDataFrame([], "id long, text string"), "id", "text")
     assert members.count() == pairs.count() == nd.expand_pairs(members, pairs).count() == nd.classes(members, pairs).count() == 0
