@@ -12,26 +12,19 @@ def band_join(left: DataFrame, bands: DataFrame, value: str, lo: str, hi: str, w
     bucket: they join on the keys alone. `how` is inner or left; rows of `left` that are equal come out as often as they are there.
     """
     v, on = F.col(value), on or []
-    r = bands.withColumn("_open", F.col(hi).isNull())
-    span = F.when(F.col("_open"), F.array(F.lit(None).cast("long"))).otherwise(
-        F.when(F.col(lo) <= F.col(hi), F.sequence(F.floor(F.col(lo) / width).cast("long"), F.floor(F.col(hi) / width).cast("long")))
-    )
-    closed = r.where(~F.col("_open") & (F.col(lo) <= F.col(hi))).withColumn("_b", F.explode(span)).drop("_open")
-    ends = r.where("_open").where(F.col(lo).isNotNull()).drop("_open")
+    buckets = F.sequence(F.floor(F.col(lo) / width).cast("long"), F.floor(F.col(hi) / width).cast("long"))
+    closed = bands.where(F.col(lo) <= F.col(hi)).withColumn("_b", F.explode(buckets))
+    ends = bands.where(F.col(hi).isNull() & F.col(lo).isNotNull())
     keys = [F.col(f"_l.{a}") == F.col(f"_r.{b}") for a, b in on]
-    rows = left.withColumn("_id", F.monotonically_increasing_id()) if how == "left" else left
-    probe = rows.withColumn("_b", F.floor(v / width).cast("long")).alias("_l")
-    inside = F.col(f"_l.{value}").between(F.col(f"_r.{lo}"), F.col(f"_r.{hi}"))
-    cond = F.col("_l._b") == F.col("_r._b")
+    probe = left.withColumn("_b", F.floor(v / width).cast("long")).alias("_l")
+    within = (F.col("_l._b") == F.col("_r._b")) & F.col(f"_l.{value}").between(F.col(f"_r.{lo}"), F.col(f"_r.{hi}"))
+    above = F.col(f"_l.{value}") >= F.col(f"_r.{lo}")
     for k in keys:
-        cond = cond & k
-    out = [F.col(f"_l.{c}") for c in rows.columns] + [F.col(f"_r.{c}") for c in bands.columns]
-    a = probe.join(closed.alias("_r"), cond & inside).select(*out)
-    cond = F.col(f"_l.{value}") >= F.col(f"_r.{lo}")
-    for k in keys:
-        cond = cond & k
-    both = a.union(rows.alias("_l").join(ends.alias("_r"), cond).select(*out))
+        within, above = within & k, above & k
+    closed, ends = closed.alias("_r"), ends.alias("_r")
+    out = [F.col(f"_l.{c}") for c in left.columns] + [F.col(f"_r.{c}") for c in bands.columns]
+    both = probe.join(closed, within).select(*out).union(probe.join(ends, above).select(*out))
     if how == "inner":
         return both
-    rest = rows.join(both.select("_id"), "_id", "left_anti")
-    return both.unionByName(rest, allowMissingColumns=True).drop("_id")
+    rest = probe.join(closed, within, "left_anti").alias("_l").join(ends, above, "left_anti").drop("_b")
+    return both.unionByName(rest, allowMissingColumns=True)

@@ -17,34 +17,37 @@ from pyspark.sql import types as T
 CHUNK = 10_000
 
 
-def _step(s: Column, a: Column, b: Column, d: Column, lo: int, hi: int) -> list[Column]:
-    """The chain x -> min(b, max(a, x + s)) followed by x -> min(hi, max(lo, x + d))."""
-    cut = lambda x: F.least(F.lit(hi).cast("long"), F.greatest(F.lit(lo).cast("long"), x))
-    return [s + d, cut(a + d), cut(b + d)]
+def _cut(x: Column, lo: Column, hi: Column) -> Column:
+    return F.least(hi, F.greatest(lo, x))
 
 
-def clamped_fold(df: DataFrame, by: list[str], order: list[str], delta: str, lo: int, hi: int, start: int, name: str, chunk: int = CHUNK) -> DataFrame:
+def clamped_fold(df: DataFrame, by: list[str], order: list[str], delta: str, lo, hi, start: int, name: str, chunk: int = CHUNK) -> DataFrame:
     """(by, name): each group's state after all its steps in order, kept within [lo, hi] after each. Null steps count as 0.
 
-    `order` must be total within a group for a fixed result; its first column must be a number or a time. An empty table gives an empty result.
+    lo and hi are numbers, or Columns for bounds that differ by row: "keep the better of" is a step of 0 with lo = value and no upper bound,
+    "replace" one with lo = hi = value. Null bounds don't bind. `order` must be total within a group for a fixed result; its first column must be a
+    number or a time. An empty table gives an empty result.
     """
-    first = order[0]
+    first, far = order[0], 2**40
+    bound = lambda c, free: F.coalesce((c if isinstance(c, Column) else F.lit(c)).cast("long"), F.lit(free).cast("long"))
+    df = df.withColumn("_from", bound(lo, -far)).withColumn("_to", bound(hi, far))
     spans = df.groupBy(*by).agg(F.count("*").alias("_n"), F.min(first).alias("_lo"), F.max(first).alias("_hi"))
-    at = lambda c: F.coalesce(F.unix_micros(F.col(c).cast("timestamp")).cast("double") if dict(df.dtypes).get(first, "").startswith("timestamp") else F.col(c).cast("double"), F.lit(0.0))
+    timed = dict(df.dtypes)[first].startswith("timestamp")
+    at = lambda c: F.coalesce(F.unix_micros(F.col(c).cast("timestamp")).cast("double") if timed else F.col(c).cast("double"), F.lit(0.0))
     place = F.when(at("_hi") > at("_lo"), (at(first) - at("_lo")) / (at("_hi") - at("_lo"))).otherwise(0.0)
     j = df.alias("d").join(spans.select(*[F.col(c).alias(f"_k_{c}") for c in by], "_n", "_lo", "_hi"), [F.col(f"d.{c}").eqNullSafe(F.col(f"_k_{c}")) for c in by])
     j = j.select("d.*", F.floor(place * F.ceil(F.col("_n") / chunk)).cast("long").alias("_c"))
-    step = F.struct(*order, F.coalesce(F.col(delta), F.lit(0)).cast("long").alias("_d"))
+    step = F.struct(*order, F.coalesce(F.col(delta), F.lit(0)).cast("long").alias("_d"), "_from", "_to")
     parts = j.groupBy(*by, "_c").agg(F.sort_array(F.collect_list(step)).alias("_e"))
-    zero = F.struct(F.lit(0).cast("long").alias("s"), F.lit(-(2**40)).cast("long").alias("a"), F.lit(2**40).cast("long").alias("b"))
-    names = ["s", "a", "b"]
+    zero = F.struct(F.lit(0).cast("long").alias("s"), F.lit(-far).cast("long").alias("a"), F.lit(far).cast("long").alias("b"))
 
-    def then(acc: Column, e: Column) -> Column:
-        return F.struct(*[x.alias(n) for x, n in zip(_step(acc["s"], acc["a"], acc["b"], e["_d"], lo, hi), names)])
+    def then(f: Column, e: Column) -> Column:
+        # The chain x -> min(b, max(a, x + s)), followed by one more step of the same form.
+        return F.struct((f["s"] + e["_d"]).alias("s"), _cut(f["a"] + e["_d"], e["_from"], e["_to"]).alias("a"), _cut(f["b"] + e["_d"], e["_from"], e["_to"]).alias("b"))
 
     maps = parts.select(*by, "_c", F.aggregate("_e", zero, then).alias("_f"))
     chain = maps.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_c", "_f"))).alias("_fs"))
-    end = F.aggregate("_fs", F.lit(start).cast("long"), lambda x, f: F.least(f["_f"]["b"], F.greatest(f["_f"]["a"], x + f["_f"]["s"])))
+    end = F.aggregate("_fs", F.lit(start).cast("long"), lambda x, f: _cut(x + f["_f"]["s"], f["_f"]["a"], f["_f"]["b"]))
     return chain.select(*by, end.alias(name))
 
 

@@ -480,7 +480,7 @@ def q51(spark: SparkSession, d: str) -> DataFrame:
     return e.withColumn("q", q.scalar()).select("vec_id", F.round(cosine("embedding", "q"), 5).alias("cosine"))
 
 
-@query("q52_tablesample", "SELECT true AS within")
+@query("q52_tablesample")
 def q52(spark: SparkSession, d: str) -> DataFrame:
     """Bernoulli sampling with a fixed seed: the share drawn is near the share asked for."""
     o = T(spark, d, "orders")

@@ -77,13 +77,13 @@ def r03(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "r04_scores",
     f"""SELECT id, {_mod('s1')} AS modifier, greatest(amount // 4, s1) AS wind, greatest({_mod('s1')}, {_mod('s2')}) AS grapple, 5 + lvl // 2 AS points, greatest(s1, s2) + least(s1, s2) AS walked, greatest(s1, s2) + least(s1, s2) // 2 AS cone,
-    greatest(1, 1 + greatest({_mod('s1')}, {_mod('s2')})) AS free_actions, CASE WHEN roll + 5 >= 20 THEN greatest(1, {_mod('s1')}) * lvl ELSE -s2 END AS surgery, lvl * (lvl - 1) * 500 AS xp, s1 >= s2 AS dark, CASE WHEN roll >= 10 THEN 2 ELSE 0 END AS aid FROM {_IN}""",
+    greatest(1, 1 + greatest({_mod('s1')}, {_mod('s2')})) AS free_actions, CASE WHEN roll + 5 >= 20 THEN greatest(1, {_mod('s1')}) * lvl ELSE -s2 END AS surgery, lvl * (lvl - 1) * 500 AS xp, s1 >= s2 AS dark, CASE WHEN roll >= 10 THEN 2 ELSE 0 END AS aid, (roll % 6 + 1) * s1 AS travel FROM {_IN}""",
 )
 def r04(spark: SparkSession, d: str) -> DataFrame:
     m1, m2 = B.modifier(C("s1")), B.modifier(C("s2"))
     return cases(spark, d).select(
         "id", m1.alias("modifier"), B.second_wind(C("amount"), C("s1")).alias("wind"), F.greatest(m1, m2).alias("grapple"), B.force_points(C("lvl")).alias("points"), B.step_distance(C("s1"), C("s2")).alias("walked"), B.cone_distance(C("s1"), C("s2")).alias("cone"),
-        B.free_actions(m1, m2).alias("free_actions"), B.surgery(C("roll") + 5, m1, C("lvl"), C("s2")).alias("surgery"), B.experience(C("lvl")).alias("xp"), (C("s1") >= C("s2")).alias("dark"), F.when(C("roll") >= 10, 2).otherwise(0).alias("aid"),
+        B.free_actions(m1, m2).alias("free_actions"), B.surgery(C("roll") + 5, m1, C("lvl"), C("s2")).alias("surgery"), B.experience(C("lvl")).alias("xp"), (C("s1") >= C("s2")).alias("dark"), F.when(C("roll") >= 10, 2).otherwise(0).alias("aid"), ((C("roll") % 6 + 1) * C("s1")).alias("travel"),
     )
 
 
@@ -170,6 +170,14 @@ def l13(spark: SparkSession, d: str) -> DataFrame:
     return hit.where("roll2 BETWEEN lo AND hi").select("id", "severity", "lo")
 
 
+@query("l14_rerolled_table", f"SELECT id, outcome FROM (SELECT id, CASE WHEN roll <> 20 THEN roll WHEN s1 % 20 + 1 <> 20 THEN s1 % 20 + 1 WHEN s2 % 20 + 1 <> 20 THEN s2 % 20 + 1 END AS v FROM {_IN}) LEFT JOIN {values_sql('OUTCOMES')} ON v BETWEEN lo AND hi")
+def l14(spark: SparkSession, d: str) -> DataFrame:
+    """A table with an outcome (20) that is rolled again: the first of a bounded list of rolls that isn't it counts; none left gives null."""
+    rolls = F.array("roll", C("s1") % 20 + 1, C("s2") % 20 + 1)
+    c = cases(spark, d).select("id", F.get(F.filter(rolls, lambda x: x != 20), 0).alias("v"))
+    return band_join(c, lookup(spark, "OUTCOMES"), "v", "lo", "hi", 5, how="left").select("id", "outcome")
+
+
 @query("l15_information", f"SELECT id, kind, dc, minutes FROM (SELECT id, roll + lvl AS v FROM {_IN}) JOIN {values_sql('INFORMATION')} ON dc <= v")
 def l15(spark: SparkSession, d: str) -> DataFrame:
     t = lookup(spark, "INFORMATION").withColumn("hi", F.lit(None).cast("int"))
@@ -199,6 +207,18 @@ def g03(spark: SparkSession, d: str) -> DataFrame:
     return g.select("user_id", q.alias("quotient"), F.greatest(q, C("m") + 2).alias("literal"), "xp")
 
 
+@query("g05_weighted_criteria", f"SELECT user_id, CAST(sum(CASE WHEN roll >= 15 THEN 3 WHEN roll >= 10 THEN 1 ELSE 0 END) - 2 * count(*) FILTER (WHERE roll = 1) AS BIGINT) AS score FROM {_IN} GROUP BY user_id")
+def g05(spark: SparkSession, d: str) -> DataFrame:
+    return cases(spark, d).groupBy("user_id").agg((F.sum(F.when(C("roll") >= 15, 3).when(C("roll") >= 10, 1).otherwise(0)) - 2 * F.count_if(C("roll") == 1)).alias("score"))
+
+
+@query("g07_cumulative_or_best", f"SELECT user_id, CAST(sum(lvl) FILTER (WHERE s1 % 2 = 0) AS BIGINT) + max(lvl) FILTER (WHERE s1 % 2 = 1) AS bonus, greatest(max(s1), max(s2)) AS spare FROM {_IN} GROUP BY user_id")
+def g07(spark: SparkSession, d: str) -> DataFrame:
+    """Some modifiers add up and of others the best counts, by a flag; of two spare pools the larger is kept."""
+    even = C("s1") % 2 == 0
+    return cases(spark, d).groupBy("user_id").agg((F.sum(F.when(even, C("lvl"))) + F.max(F.when(~even, C("lvl")))).alias("bonus"), F.greatest(F.max("s1"), F.max("s2")).alias("spare"))
+
+
 @query("g06_stacking", f"SELECT user_id, CAST(sum(CASE WHEN event_type = 'click' THEN total ELSE best END) AS BIGINT) AS bonus FROM (SELECT user_id, event_type, sum(lvl) AS total, max(lvl) AS best FROM {_IN} GROUP BY ALL) GROUP BY user_id")
 def g06(spark: SparkSession, d: str) -> DataFrame:
     """Only the best of a kind counts, except for one kind whose bonuses add up."""
@@ -245,6 +265,19 @@ def s03(spark: SparkSession, d: str) -> DataFrame:
     return cases(spark, d).groupBy("user_id").agg(F.max_by("roll", "id").alias("final"), F.max("roll").alias("better"), F.least(F.max("roll"), F.max_by("s1", "id")).alias("forced"))
 
 
+@query(
+    "s06_ordered_rerolls",
+    f"""SELECT user_id, list_reduce(list({{'k': event_type, 'v': roll}} ORDER BY id), lambda acc, x: {{'k': '', 'v': CASE x.k WHEN 'click' THEN x.v WHEN 'purchase' THEN greatest(acc.v, x.v) ELSE least(acc.v, x.v) END}}, {{'k': '', 'v': 10}}).v AS kept FROM {_IN} GROUP BY user_id""",
+)
+def s06(spark: SparkSession, d: str) -> DataFrame:
+    """Rerolls of three kinds in the order they are used: the new one counts, the better one, or the lower one."""
+    kind, none = C("event_type"), F.lit(None).cast("long")
+    c = cases(spark, d).withColumn("zero", F.lit(0))
+    lo = F.when(kind.isin("click", "purchase"), C("roll")).otherwise(none)
+    hi = F.when(kind == "purchase", none).otherwise(C("roll"))
+    return folds.clamped_fold(c, ["user_id"], ["id"], "zero", lo, hi, 10, "kept")
+
+
 @query("s07_condition_track", f"SELECT user_id, list_reduce(list(CASE WHEN roll <= 12 THEN 1 WHEN roll <= 15 THEN 0 ELSE -2 END ORDER BY id), lambda acc, x: least(5, greatest(0, acc + x)), 0)::BIGINT AS step FROM {_IN} GROUP BY user_id")
 def s07(spark: SparkSession, d: str) -> DataFrame:
     c = cases(spark, d).withColumn("delta", F.when(C("roll") <= 12, 1).when(C("roll") <= 15, 0).otherwise(-2))
@@ -308,4 +341,10 @@ def s16(spark: SparkSession, d: str) -> DataFrame:
     return folds.spaced(c, ["user_id"], "at", 86_400)
 
 
+@query("s15_one_per_trigger", f"SELECT min(id) AS id FROM {_IN} GROUP BY user_id, roll")
+def s15(spark: SparkSession, d: str) -> DataFrame:
+    """One answer a trigger: the first."""
+    return cases(spark, d).groupBy("user_id", "roll").agg(F.min("id").alias("id")).select("id")
+
+
 QUERIES, ORACLES = R.queries, R.oracles

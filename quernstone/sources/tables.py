@@ -12,7 +12,9 @@ def spread(df: DataFrame) -> DataFrame:
     """`df`, redistributed if its scan has fewer partitions than the session has cores.
 
     Meant for CPU-bound Python stages over a table that lies in one small file. A scan of many
-    files has more partitions than cores and is returned as it is, without a shuffle.
+    files has more partitions than cores and is returned as it is, without a shuffle; so is a plan that has a shuffle already.
     """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
