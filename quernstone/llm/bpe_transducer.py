@@ -28,6 +28,8 @@ _CUT = re.compile(r"(?<=\S)(?= \S)")
 class Vocabulary:
     """Ranks of a byte-level BPE vocabulary; the rank of a token is its id and its merge order."""
 
+    MOST_PAIRS = 400_000
+
     def __init__(self, path: str):
         with open(path, "rb") as f:
             self.rank = {binascii.a2b_base64(a): int(b) for a, b in (line.split() for line in f)}
@@ -82,7 +84,7 @@ class Vocabulary:
         """
         got = self.known.get(a << 20 | b)
         if got is None:
-            if len(self.known) > 2_000_000:
+            if len(self.known) > self.MOST_PAIRS:
                 self.known.clear()
             rank, bytes_of, parts = self.rank, self.bytes_of, self.parts
             x, y, until, got = a, b, len(rank) + 1, True
@@ -103,9 +105,9 @@ class Vocabulary:
 
 
 class Transducer:
-    """Encodes byte strings. A state is a tuple of open prefixes, the longest rest first: trie node << 20 | last token + 1."""
+    """Encodes byte strings. A state is an array of open prefixes, the longest rest first: trie node << 20 | last token + 1, as bytes."""
 
-    MOST_STATES = 400_000
+    MOST_STATES = 300_000
     #: Bytes after which decided tokens are emitted while more input comes.
     WINDOW = 4096
 
@@ -115,16 +117,16 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
-        start = (0,)
-        self.numbers: dict[tuple, int] = {start: 0}
-        self.states: list[tuple] = [start]
+        start = bytes(8)
+        self.numbers: dict[bytes, int] = {start: 0}
+        self.states: list[bytes] = [start]
         self.last: list[int] = [-1]
         self.step: dict[int, int] = {}
 
     def _transition(self, at: int, byte: int) -> int:
-        v, open_, last = self.v, [], -1
+        v, open_, last = self.v, array.array("q"), -1
         get, token_at, inner, known = v.child.get, v.token_at, v.inner, v.known
-        for prefix in self.states[at]:
+        for prefix in memoryview(self.states[at]).cast("q"):
             to = get(prefix >> 20 << 8 | byte)
             if to is not None:
                 before = prefix & 0xFFFFF
@@ -141,7 +143,7 @@ class Transducer:
         if last < 0:
             raise ValueError("the vocabulary lacks single bytes")
         open_.append(last + 1)
-        state = tuple(open_)
+        state = open_.tobytes()
         number = self.numbers.get(state)
         if number is None:
             number = self.numbers[state] = len(self.states)
@@ -161,7 +163,7 @@ class Transducer:
 
     def _decided(self, ends: list[int], at: int) -> int:
         """Where the encodings of all open prefixes meet."""
-        places = {len(ends) - self.v.depth[node] for node in (p >> 20 for p in self.states[at])}
+        places = {len(ends) - self.v.depth[node] for node in (p >> 20 for p in memoryview(self.states[at]).cast("q"))}
         while len(places) > 1:
             far = max(places)
             places.remove(far)
@@ -187,7 +189,7 @@ class Transducer:
 class Encoder:
     """Texts to ids under the public pre-token pattern, strings of special tokens being ordinary text."""
 
-    MOST_CHUNKS = 500_000
+    MOST_CHUNKS = 200_000
 
     def __init__(self, path: str, pattern: str):
         self.transducer = Transducer(Vocabulary(path))
