@@ -22,18 +22,23 @@ import re
 
 import regex
 
+#: A token's parts: not looked for yet; none, as it is one byte.
+UNKNOWN, SINGLE = -2, -1
+
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
 class Vocabulary:
     """Ranks of a byte-level BPE vocabulary; the rank of a token is its id and its merge order."""
 
-    MOST_PAIRS = 400_000
+    MOST_PAIRS = 600_000
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
             self.rank = {binascii.a2b_base64(a): int(b) for a, b in (line.split() for line in f)}
-        self.bytes_of = {b: a for a, b in self.rank.items()}
+        self.bytes_of = [b""] * (max(self.rank.values()) + 1)
+        for data, token in self.rank.items():
+            self.bytes_of[token] = data
         self.child: dict[int, int] = {}
         self.token_at, self.inner, self.depth = [-1], [True], [0]
         for data, token in self.rank.items():
@@ -47,7 +52,8 @@ class Vocabulary:
                 node = to
             self.token_at[node] = token
         self.known: dict[int, bool] = {}
-        self._parts: dict[int, tuple[int, int] | None] = {}
+        self.left = [SINGLE if len(b) == 1 else UNKNOWN for b in self.bytes_of]
+        self.right = list(self.left)
 
     def merge(self, data: bytes, below: int | None = None) -> list[int]:
         """The encoding by the definition: the lowest-ranked neighbour pair merges first; only merges ranked under `below`."""
@@ -64,16 +70,12 @@ class Vocabulary:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [rank[p] for p in parts]
 
-    def parts(self, token: int) -> tuple[int, int] | None:
-        """The two tokens whose merge makes this one; None for a single byte."""
-        got = self._parts.get(token, 0)
-        if got == 0:
-            data, rank = self.bytes_of[token], self.rank
-            cuts = [(a, b) for i in range(1, len(data)) if (a := rank.get(data[:i], token)) < token and (b := rank.get(data[i:], token)) < token]
-            # Where several cuts would do, the merges themselves tell; a token of several bytes has at least one.
-            got = None if len(data) == 1 else cuts[0] if len(cuts) == 1 else tuple(self.merge(data, token))
-            self._parts[token] = got
-        return got
+    def _part(self, token: int) -> None:
+        """Finds the two tokens whose merge makes this one."""
+        data, rank = self.bytes_of[token], self.rank
+        cuts = [(a, b) for i in range(1, len(data)) if (a := rank.get(data[:i], token)) < token and (b := rank.get(data[i:], token)) < token]
+        # Where several cuts would do, the merges themselves tell; a token of several bytes has at least one.
+        self.left[token], self.right[token] = cuts[0] if len(cuts) == 1 else self.merge(data, token)
 
     def stable(self, a: int, b: int) -> bool:
         """Whether tokens a, b next to each other encode to themselves.
@@ -86,18 +88,21 @@ class Vocabulary:
         if got is None:
             if len(self.known) > self.MOST_PAIRS:
                 self.known.clear()
-            rank, bytes_of, parts = self.rank, self.bytes_of, self.parts
-            x, y, until, got = a, b, len(rank) + 1, True
+            get, bytes_of, left, right = self.rank.get, self.bytes_of, self.left, self.right
+            x, y, until, got = a, b, len(left) + 1, True
             while True:
-                merged = rank.get(bytes_of[x] + bytes_of[y])
+                merged = get(bytes_of[x] + bytes_of[y])
                 if merged is not None and merged < until:
                     got = False
                     break
-                px, py = parts(x), parts(y)
-                if px and (x > y or not py):
-                    until, x = x, px[1]
-                elif py:
-                    until, y = y + 1, py[0]
+                if right[x] != SINGLE and (x > y or left[y] == SINGLE):
+                    if right[x] == UNKNOWN:
+                        self._part(x)
+                    until, x = x, right[x]
+                elif left[y] != SINGLE:
+                    if left[y] == UNKNOWN:
+                        self._part(y)
+                    until, y = y + 1, left[y]
                 else:
                     break
             self.known[a << 20 | b] = got
@@ -105,45 +110,64 @@ class Vocabulary:
 
 
 class Transducer:
-    """Encodes byte strings. A state is an array of open prefixes, the longest rest first: trie node << 20 | last token + 1, as bytes."""
+    """Encodes byte strings.
+
+    The rests of the open prefixes are the suffixes of the input that are paths of the trie, so the longest one
+    tells the others: they form a chain of trie nodes. A state is a chain and, for each of its nodes, the last token before that rest.
+    """
 
-    MOST_STATES = 300_000
+    MOST_STATES = 250_000
     #: Bytes after which decided tokens are emitted while more input comes.
     WINDOW = 4096
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.size = {t: len(b) for t, b in vocabulary.bytes_of.items()}
+        self.size = [len(b) for b in vocabulary.bytes_of]
+        self.chains: list[tuple[int, ...]] = [(0,)]
+        self.chain_numbers: dict[tuple[int, ...], int] = {(0,): 0}
+        self.moves: dict[int, tuple] = {}
         self._reset()
 
     def _reset(self) -> None:
-        start = bytes(8)
-        self.numbers: dict[bytes, int] = {start: 0}
-        self.states: list[bytes] = [start]
+        start = (0, (-1,))
+        self.numbers: dict[tuple, int] = {start: 0}
+        self.states: list[tuple] = [start]
         self.last: list[int] = [-1]
         self.step: dict[int, int] = {}
 
-    def _transition(self, at: int, byte: int) -> int:
-        v, open_, last = self.v, array.array("q"), -1
-        get, token_at, inner, known = v.child.get, v.token_at, v.inner, v.known
-        for prefix in memoryview(self.states[at]).cast("q"):
-            to = get(prefix >> 20 << 8 | byte)
+    def _move(self, chain: int, byte: int) -> tuple:
+        """What a byte does to a chain: the next chain, the (place, token) of each rest that becomes a token, and the places that go on."""
+        v, ends, on, nodes = self.v, [], [], []
+        for place, node in enumerate(self.chains[chain]):
+            to = v.child.get(node << 8 | byte)
             if to is not None:
-                before = prefix & 0xFFFFF
-                if last < 0:
-                    token = token_at[to]
-                    if token >= 0:
-                        fine = not before or known.get(before - 1 << 20 | token)
-                        if fine is None:
-                            fine = v.stable(before - 1, token)
-                        if fine:
-                            last = token
-                if inner[to]:
-                    open_.append(to << 20 | before)
-        if last < 0:
+                if v.token_at[to] >= 0:
+                    ends.append((place, v.token_at[to]))
+                if v.inner[to]:
+                    on.append(place)
+                    nodes.append(to)
+        if not ends:
             raise ValueError("the vocabulary lacks single bytes")
-        open_.append(last + 1)
-        state = open_.tobytes()
+        nodes = (*nodes, 0)
+        number = self.chain_numbers.setdefault(nodes, len(self.chains))
+        if number == len(self.chains):
+            self.chains.append(nodes)
+        got = self.moves[chain << 8 | byte] = (number, ends, on)
+        return got
+
+    def _transition(self, at: int, byte: int) -> int:
+        chain, before = self.states[at]
+        chain, ends, on = self.moves.get(chain << 8 | byte) or self._move(chain, byte)
+        known, last = self.v.known, -1
+        for place, token in ends:
+            b = before[place]
+            fine = b < 0 or known.get(b << 20 | token)
+            if fine is None:
+                fine = self.v.stable(b, token)
+            if fine:
+                last = token
+                break
+        state = (chain, (*[before[place] for place in on], last))
         number = self.numbers.get(state)
         if number is None:
             number = self.numbers[state] = len(self.states)
@@ -163,7 +187,7 @@ class Transducer:
 
     def _decided(self, ends: list[int], at: int) -> int:
         """Where the encodings of all open prefixes meet."""
-        places = {len(ends) - self.v.depth[node] for node in (p >> 20 for p in memoryview(self.states[at]).cast("q"))}
+        places = {len(ends) - self.v.depth[node] for node in self.chains[self.states[at][0]]}
         while len(places) > 1:
             far = max(places)
             places.remove(far)
