@@ -235,7 +235,7 @@ def q23(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "q24_conditional",
-    """SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS filled, sum(CASE WHEN o_totalprice > 100000 THEN 1 ELSE 0 END) AS large FROM orders GROUP BY 1""",
+    """SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS filled, CAST(sum(CASE WHEN o_totalprice > 100000 THEN 1 ELSE 0 END) AS BIGINT) AS large FROM orders GROUP BY 1""",
 )
 def q24(spark: SparkSession, d: str) -> DataFrame:
     return T(spark, d, "orders").groupBy("o_orderpriority").agg(F.count_if(F.col("o_orderstatus") == "F").alias("filled"), F.sum(F.when(F.col("o_totalprice") > 100000, 1).otherwise(0)).alias("large"))
@@ -295,8 +295,8 @@ _W = "OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey)"
 
 @query(
     "q31_ranking",
-    f"""SELECT o_orderkey, row_number() {_W} AS rn, rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority) AS rk, dense_rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority) AS dr,
-    ntile(4) {_W} AS quarter, round(percent_rank() {_W}, 6) AS pr, round(cume_dist() {_W}, 6) AS cd FROM orders""",
+    f"""SELECT o_orderkey, CAST(row_number() {_W} AS INTEGER) AS rn, CAST(rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority) AS INTEGER) AS rk,
+    CAST(dense_rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority) AS INTEGER) AS dr, CAST(ntile(4) {_W} AS INTEGER) AS quarter, round(percent_rank() {_W}, 6) AS pr, round(cume_dist() {_W}, 6) AS cd FROM orders""",
 )
 def q31(spark: SparkSession, d: str) -> DataFrame:
     w, s = W.partitionBy("o_custkey").orderBy("o_totalprice", "o_orderkey"), W.partitionBy("o_orderstatus").orderBy("o_orderpriority")
@@ -389,8 +389,8 @@ def q42(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "q43_strings",
-    """SELECT p_partkey, upper(p_name) AS up, length(p_name) AS n, substr(p_name, 2, 5) AS part, regexp_extract(p_brand, '([0-9])([0-9])', 1) AS tens, regexp_replace(p_type, '[AEIOU]', '_', 'g') AS masked,
-    string_split(p_type, ' ')[1] AS first_word, concat_ws('/', p_brand, p_type) AS both, levenshtein(p_brand, 'Brand#11') AS dist, reverse(p_brand) AS rev, lpad(CAST(p_size AS VARCHAR), 4, '0') AS padded FROM part""",
+    """SELECT p_partkey, upper(p_name) AS up, CAST(length(p_name) AS INTEGER) AS n, substr(p_name, 2, 5) AS part, regexp_extract(p_brand, '([0-9])([0-9])', 1) AS tens, regexp_replace(p_type, '[AEIOU]', '_', 'g') AS masked,
+    string_split(p_type, ' ')[1] AS first_word, concat_ws('/', p_brand, p_type) AS both, CAST(levenshtein(p_brand, 'Brand#11') AS INTEGER) AS dist, reverse(p_brand) AS rev, lpad(CAST(p_size AS VARCHAR), 4, '0') AS padded FROM part""",
 )
 def q43(spark: SparkSession, d: str) -> DataFrame:
     return T(spark, d, "part").select(
@@ -546,7 +546,7 @@ def q58(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("events"))
 
 
-@query("q59_udf_scalar", "SELECT s_suppkey, length(s_name) * 2 AS doubled, s_acctbal * 1.5 AS scaled FROM supplier")
+@query("q59_udf_scalar", "SELECT s_suppkey, CAST(length(s_name) * 2 AS INTEGER) AS doubled, s_acctbal * 1.5 AS scaled FROM supplier")
 def q59(spark: SparkSession, d: str) -> DataFrame:
     from quernstone.functions.udfs import doubled_length, scale
 

@@ -127,7 +127,7 @@ def l04(spark: SparkSession, d: str) -> DataFrame:
     return band_join(cases(spark, d).select("id", (C("roll") + C("lvl")).alias("v")), t, "v", "lo", "hi", 5, how="left").select("id", "size")
 
 
-@query("l07_attack_bonus", f"SELECT id, CASE WHEN s1 % 2 = 0 THEN lvl ELSE lvl * 3 // 4 END AS bonus FROM {_IN}")
+@query("l07_attack_bonus", f"SELECT id, CAST(CASE WHEN s1 % 2 = 0 THEN lvl ELSE lvl * 3 // 4 END AS INTEGER) AS bonus FROM {_IN}")
 def l07(spark: SparkSession, d: str) -> DataFrame:
     """A class-by-level matrix, unpivoted to rows and joined on class and level."""
     names = [f"l{i}" for i in range(1, 21)]
@@ -137,7 +137,7 @@ def l07(spark: SparkSession, d: str) -> DataFrame:
     return c.join(F.broadcast(t), (c["class"] == t["class"]) & (C("lvl") == C("level"))).select("id", "bonus")
 
 
-@query("l08_level_of_points", f"SELECT id, max(lvl2) AS level FROM (SELECT id, amount * 3000 AS xp FROM {_IN}) JOIN (SELECT range + 1 AS lvl2, (range + 1) * range * 500 AS need FROM range(20)) ON need <= xp GROUP BY id")
+@query("l08_level_of_points", f"SELECT id, CAST(max(lvl2) AS INTEGER) AS level FROM (SELECT id, amount * 3000 AS xp FROM {_IN}) JOIN (SELECT range + 1 AS lvl2, (range + 1) * range * 500 AS need FROM range(20)) ON need <= xp GROUP BY id")
 def l08(spark: SparkSession, d: str) -> DataFrame:
     """A folded table (two groups of columns side by side), unfolded, then used for an as-of lookup."""
     from quernstone.operators.markdown import unfold
@@ -243,7 +243,7 @@ def g11(spark: SparkSession, d: str) -> DataFrame:
     return cases(spark, d).groupBy("user_id").agg(n.alias("bonus"), F.least(F.lit(4), n).alias("capped"))
 
 
-@query("s01_initiative", f"SELECT id, rank() OVER (PARTITION BY user_id ORDER BY roll DESC, s1 DESC) AS place FROM {_IN}")
+@query("s01_initiative", f"SELECT id, CAST(rank() OVER (PARTITION BY user_id ORDER BY roll DESC, s1 DESC) AS INTEGER) AS place FROM {_IN}")
 def s01(spark: SparkSession, d: str) -> DataFrame:
     return cases(spark, d).select("id", F.rank().over(W.partitionBy("user_id").orderBy(F.desc("roll"), F.desc("s1"))).alias("place"))
 
