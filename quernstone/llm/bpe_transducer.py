@@ -210,44 +210,65 @@ class Transducer:
         return out + self._chain(ends, len(ends)) if out else self._chain(ends, len(ends))
 
 
+class _Odd(Exception):
+    """A part of a text that has white space at an edge: cutting at single blanks doesn't do."""
+
+
+class _Table(dict):
+    """Ids, as bytes of 32-bit numbers, of chunks; a missing chunk is encoded. Emptied when it has grown large."""
+
+    def __init__(self, encode, most: int):
+        self.encode, self.most = encode, most
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.encode(chunk)
+        if len(chunk) <= 40:
+            if len(self) > self.most:
+                self.clear()
+            self[chunk] = ids
+        return ids
+
+
 class Encoder:
-    """Texts to ids under the public pre-token pattern, strings of special tokens being ordinary text."""
+    """Texts to ids under the public pre-token pattern, strings of special tokens being ordinary text.
 
-    MOST_CHUNKS = 200_000
+    A blank between two characters that are no white space always begins a pre-token, so the text is encoded in chunks cut there.
+    """
+
+    MOST_CHUNKS = 120_000
 
     def __init__(self, path: str, pattern: str):
         self.transducer = Transducer(Vocabulary(path))
         self.pattern = regex.compile(pattern)
-        #: Ids of chunks and of the pre-tokens in them.
-        self.chunks: dict[str, array.array] = {}
-
-    def _keep(self, text: str, ids: array.array) -> array.array:
-        if len(text) <= 40:
-            if len(self.chunks) > self.MOST_CHUNKS:
-                self.chunks.clear()
-            self.chunks[text] = ids
-        return ids
+        self.words = _Table(self._word, self.MOST_CHUNKS)
+        self.chunks = _Table(self._chunk, self.MOST_CHUNKS)
+        self.after_blank = _Table(self._after_blank, self.MOST_CHUNKS)
 
-    def _chunk(self, chunk: str) -> array.array:
-        pieces = self.pattern.findall(chunk)
-        if len(pieces) == 1:
-            return self._keep(chunk, array.array("i", self.transducer.encode(chunk.encode("utf-8", "surrogatepass"))))
-        out, get = array.array("i"), self.chunks.get
-        for piece in pieces:
-            got = get(piece)
-            out += got if got is not None else self._keep(piece, array.array("i", self.transducer.encode(piece.encode("utf-8", "surrogatepass"))))
-        return self._keep(chunk, out)
+    def _word(self, word: str) -> bytes:
+        return array.array("i", self.transducer.encode(word.encode("utf-8", "surrogatepass"))).tobytes()
 
-    def encode(self, text: str, out: array.array) -> None:
-        """Appends the ids of `text` to `out`.
+    def _chunk(self, chunk: str) -> bytes:
+        words = self.pattern.findall(chunk)
+        return self._word(words[0]) if len(words) == 1 else b"".join(map(self.words.__getitem__, words))
 
-        A blank between two characters that are no white space always begins a pre-token, so the text is
-        encoded in chunks cut there.
-        """
-        get, more = self.chunks.get, out.extend
-        for chunk in _CUT.split(text):
-            ids = get(chunk)
-            more(self._chunk(chunk) if ids is None else ids)
+    def _after_blank(self, part: str) -> bytes:
+        if not part or part[0].isspace() or part[-1].isspace():
+            raise _Odd
+        return self._chunk(" " + part)
+
+    def encode(self, text: str, out: array.array) -> None:
+        """Appends the ids of `text` to `out`."""
+        first, blank, rest = text.partition(" ")
+        if blank and first and not first[-1].isspace():
+            try:
+                ids = b"".join(map(self.after_blank.__getitem__, rest.split(" ")))
+            except _Odd:
+                pass
+            else:
+                out.frombytes(self.chunks[first])
+                out.frombytes(ids)
+                return
+        out.frombytes(b"".join(map(self.chunks.__getitem__, _CUT.split(text))))
 
 
 class Decoder:
