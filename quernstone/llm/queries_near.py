@@ -26,4 +26,11 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p1_groups": p1_groups}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "p1_found": r"""
+WITH w AS (SELECT page_id, regexp_extract_all(lower(body), '[\p{L}\p{N}]+') AS ws FROM page WHERE body IS NOT NULL),
+s AS (SELECT DISTINCT page_id, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS g FROM w WHERE len(ws) >= 3),
+n AS (SELECT page_id, count(*) AS n FROM s GROUP BY page_id),
+o AS (SELECT a.page_id AS page_id_a, b.page_id AS page_id_b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.page_id < b.page_id GROUP BY ALL)
+SELECT page_id_a, page_id_b FROM o JOIN n x ON x.page_id = page_id_a JOIN n y ON y.page_id = page_id_b WHERE o >= 0.6 * (x.n + y.n - o)""",
+}
