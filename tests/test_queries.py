@@ -34,7 +34,6 @@ def test_entry_has_a_stable_schema(spark):
 def test_filters_and_columns_reach_the_scan(spark):
     plan = QUERIES["q10_inner_join"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(o_totalprice), GreaterThan(o_totalprice,300000.0)" in plan
-    assert "BroadcastNestedLoop" not in QUERIES["q17_band_join"](spark, FOLDER).where("label <> 'large'")._jdf.queryExecution().executedPlan().toString() or True
 
 
 def test_sketches_are_near_the_exact_values(spark):
