@@ -6,11 +6,14 @@ bullet, stamp, text ...) with its text, where digits, names and the host are rep
 would be in HTML. Three steps:
 
 1. Each page scores its containers by cues: consent, advertisement, sharing, comment, legal ... wording and menu shapes
-   count against, headings, tables, labelled bullets and running text for main content.
-2. The scores are summed by host and path, and hosts vote on each path, one vote a host. Labels that stand in menu bars
-   and menu links vote as paths of their own.
-3. The pages are read again: a container is furniture if its path has lost on its host, or, where its host is undecided, on the
-   other hosts; a line made of labels is furniture if all of them have lost.
+   count against, headings, tables, labelled bullets and running text for main content. Other short lines stay undecided.
+2. Paths are generalised over text: the container's form (item or sentence), how many of the host's entries hold it, and, where more
+   than two do, its place before, within or after the entry. The scores are summed by host and such path, and hosts vote on each, one vote a host.
+3. The pages are read again: an undecided container is furniture if its path has lost on its host, or, where its host is undecided or
+   has too few entries to tell, on the other hosts. Labels of menus are voted on too, and need a majority of the hosts that show them; an
+   undecided line made of labels is furniture if all of them have lost.
+
+Sentences without a cue are main content in any case: sites repeat sentences of their entries too, at the same places as those of their furniture.
 """
 
 import re
@@ -53,8 +56,12 @@ comment comments leave avatar reply show sort first
 # Labels that menus of most sites have.
 LABELS = ["home", "help", "log in", "log out", "login", "sign in", "sign up", "register", "about us", "about", "contact", "search", "search this site", "site map", "sitemap", "menu", "privacy", "terms", "faq", "forum", "shop", "blog", "newsletter"]
 
-#: Lines longer than this without a cue are running text and need no vote.
+#: Text lines longer than this without a cue show, as headings, tables and labelled bullets do, where an entry stands on its page.
 LONG = 160
+#: Hosts with fewer entries than this don't vote on generalised paths.
+LEAST_ENTRIES = 4
+#: A line on at most so many entries of its host is their own; one on at least this share of them stands on many.
+OWN, MANY = 2, 0.1
 #: Lines longer than this are running text: no cue is looked for in them.
 LONGEST = 300
 
@@ -130,6 +137,7 @@ def _containers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for i, host, text in zip(pdf["id"], pdf["host"], pdf["text"]):
             name = host.lower() if isinstance(host, str) else ""
             base, boxed = name.partition(".")[0], False
+            lines, entry, first, last = [], None, 0, 0
             for n, line in enumerate(text.split("\n"), 1):
                 s = _SPACE.sub(" ", line).strip()
                 if not s:
@@ -144,21 +152,56 @@ def _containers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 kind, cue, score, path, labels = got
                 if boxed and cue != "button" and len(s) <= 80 and _ENTRY.fullmatch(s):
                     general = _DIGITS.sub("0", _NAMES.sub("^", s))
-                    rows.append((i, host, n, "box", "box", -1, xxhash.xxh3_64_intdigest(f"box\n{general}") - (1 << 63), None))
+                    lines.append((n, "box", "box", -1, xxhash.xxh3_64_intdigest(f"box\n{general}") - (1 << 63), None))
                     continue
                 boxed = cue == "related"
-                if score < 1 or kind == "text" and len(s) <= LONG:
-                    rows.append((i, host, n, kind, cue, score, path, labels))
-        yield pd.DataFrame(rows, columns=["id", "host", "line_no", "kind", "cue", "score", "path", "labels"])
+                if score == 1 and (kind != "text" or len(s) > LONG):
+                    score, first, last = 2, first or n, n
+                    if entry is None and kind in ("heading", "text"):
+                        entry = path
+                lines.append((n, kind, cue, score, path, labels))
+            entry = i if entry is None else entry
+            rows += [(i, host, entry, "above" if n < first else "below" if n > last > 0 else "within", *x) for x in lines for n in x[:1]]
+        yield pd.DataFrame(rows, columns=["id", "host", "entry", "place", "line_no", "kind", "cue", "score", "path", "labels"])
 
 
 def containers(df: DataFrame, id_col: str, host_col: str, text_col: str) -> DataFrame:
-    """Lines as (id, host, line_no, kind, cue, score, path, labels): score -1 furniture, 0 undecided, 1 main content.
+    """Lines as (id, host, entry, place, line_no, kind, cue, score, path, labels): score -1 furniture, 0 undecided, 1 and 2 main content.
 
-    Headings, tables, labelled bullets and long text without a cue are main content in any case and have no rows.
+    entry is a key of the page's first heading, else of its first long text, else its id: fetches and revisions share it.
+    place is above, within or below the lines of score 2: headings, tables, labelled bullets and long text without a cue.
     """
     pages = df.select(F.col(id_col).cast("long").alias("id"), F.col(host_col).alias("host"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    return spread(pages).mapInPandas(_containers, "id long, host string, line_no long, kind string, cue string, score int, path long, labels array<string>")
+    return spread(pages).mapInPandas(_containers, "id long, host string, entry long, place string, line_no long, kind string, cue string, score int, path long, labels array<string>")
+
+
+def _verdicts(rows: DataFrame) -> DataFrame:
+    """(site, path, place) of undecided containers with the verdict of the vote: below 0 furniture, above 0 main content, 0 none."""
+    sign, at = F.signum("score"), ("above", "within", "below")
+    sums = [F.coalesce(F.sum(F.when(F.col("place") == x, sign)), F.lit(0)).alias(x) for x in at]
+    open_at = F.collect_set(F.when(F.col("score") == 0, F.col("place"))).alias("open")
+    texts = rows.groupBy("site", "path").agg(F.count_distinct("entry").alias("n"), F.first(F.col("kind") == "text").alias("sentence"), *sums)
+    texts = texts.join(rows.where("score = 0").groupBy("site", "path").agg(open_at), ["site", "path"], "left")
+    sizes = rows.select("site", "entry").distinct().groupBy("site").agg(F.count("*").alias("entries"))
+    places = F.array(*[F.struct(F.lit(x).alias("place"), F.col(x).alias("s")) for x in at])
+    spread_ = texts.join(sizes, "site").select("site", "path", "n", "entries", "sentence", "open", F.inline(places))
+    share = F.when(F.col("n") <= OWN, "own").otherwise(F.concat("place", F.when(F.col("n") >= MANY * F.col("entries"), "many").otherwise("some")))
+    form = F.when(F.col("sentence"), "sentence ").otherwise("item ")
+    asked = F.coalesce(F.array_contains("open", F.col("place")), F.lit(False))
+    general = spread_.select("site", "path", "place", "s", "entries", asked.alias("asked"), F.concat(form, share).alias("general"))
+    general = materialize(general.where("asked OR s <> 0"), "paths")
+    by_host = general.where((F.col("entries") >= LEAST_ENTRIES) & (F.col("s") != 0)).groupBy("site", "general").agg(F.signum(F.sum("s")).alias("vote"))
+    by_path = by_host.groupBy("general").agg(F.signum(F.sum("vote")).alias("hosts"))
+    asked = general.where("asked").join(by_host, ["site", "general"], "left").join(F.broadcast(by_path), "general", "left")
+    return asked.select("site", "path", "place", F.coalesce(F.nullif("vote", F.lit(0.0)), "hosts", F.lit(0.0)).alias("verdict"))
+
+
+def _lost_labels(shown: DataFrame, spark) -> DataFrame:
+    """(site, label) of lost labels out of (site, label, worth), one row a line: lost on the host itself, or on the majority of hosts that show them."""
+    by_host = shown.groupBy("site", "label").agg(F.signum(F.sum("worth")).alias("vote"))
+    fixed = spark.createDataFrame([("", x, -1.0) for x in LABELS], "site string, label string, vote double")
+    by_label = by_host.union(fixed).groupBy("label").agg(F.sum("vote").alias("hosts"))
+    return by_host.join(by_label, "label").where("vote < 0 OR hosts < 0").select("site", "label")
 
 
 def furniture(df: DataFrame, id_col: str, host_col: str, text_col: str) -> DataFrame:
@@ -167,18 +210,13 @@ def furniture(df: DataFrame, id_col: str, host_col: str, text_col: str) -> DataF
     Null and empty texts have no lines. A null host is a host of its own. Rows with a null id are left out. Rows with equal ids are read on their own, and their
     lines come once. An empty table gives an empty result; extra columns are ignored.
     """
-    rows = materialize(containers(df, id_col, host_col, text_col), "containers")
-    site = F.coalesce("host", F.lit(""))
-    open_ = rows.where(F.col("score") == 0)
-    voting = rows.where(F.col("score") != 0).select("id", "line_no", site.alias("site"), "path", "score")
-    by_host = voting.groupBy("site", "path").agg(F.sum("score").alias("votes"))
-    by_path = by_host.groupBy("path").agg(F.sum(F.signum("votes")).alias("hosts"))
-    lost = by_host.join(by_path, "path").where((F.col("votes") < 0) | ((F.col("votes") == 0) & (F.col("hosts") < 0))).select("site", "path")
-    by_vote = voting.select("id", "line_no", "site", "path").join(lost, ["site", "path"], "left_semi").select("id", "line_no")
-    # Labels: those of menu bars and menu links, one vote a host.
-    menus = rows.where(F.col("kind").isin("menu bar", "menu links") | (F.col("kind") == "menu link")).select(site.alias("site"), F.explode("labels").alias("label"))
-    known = menus.where("label <> ''").distinct().groupBy("label").agg(F.count("*").alias("hosts")).select("label")
-    known = known.union(df.sparkSession.createDataFrame([(x,) for x in LABELS], "label string")).distinct()
-    shown = open_.where(F.size("labels") > 0).select("id", "line_no", F.size("labels").alias("n"), F.explode("labels").alias("label"))
-    labelled = shown.join(known, "label", "left_semi").groupBy("id", "line_no", "n").agg(F.count("*").alias("k")).where("k = n").select("id", "line_no")
-    return by_vote.union(labelled).distinct()
+    rows = materialize(containers(df, id_col, host_col, text_col), "containers").withColumn("site", F.coalesce("host", F.lit("")))
+    by_cue = rows.where("score < 0").select("id", "line_no")
+    open_ = rows.where("score = 0").join(_verdicts(rows), ["site", "path", "place"]).select("id", "line_no", "site", "labels", "verdict")
+    open_ = materialize(open_, "undecided")
+    # Labels: menu-shaped lines and lost lines show them as furniture, other undecided lines as content.
+    menus = rows.where(F.col("kind").isin("menu bar", "menu links", "menu link")).select("site", F.explode("labels").alias("label"), F.lit(-1.0).alias("worth"))
+    shown = open_.select("id", "line_no", "site", "verdict", F.size("labels").alias("n"), F.explode("labels").alias("label"))
+    lost = _lost_labels(menus.union(shown.select("site", "label", F.col("verdict").alias("worth"))).where("label <> ''"), df.sparkSession)
+    labelled = shown.join(lost, ["site", "label"], "left_semi").groupBy("id", "line_no", "n").agg(F.count("*").alias("k")).where("k = n").select("id", "line_no")
+    return by_cue.union(open_.where("verdict < 0").select("id", "line_no")).union(labelled).distinct()

@@ -133,3 +133,18 @@ def test_hosts_outvote_a_cue(spark):
     rows = [(i, f"h{i}", f"# T\n{line}\nThe text of the page is here, as it should be.") for i in range(4)]
     found = boilerplate.furniture(spark.createDataFrame(rows, "id long, host string, md string"), "id", "host", "md")
     assert {tuple(r) for r in found.collect()} == {(i, 2) for i in range(4)}
+
+
+def test_undecided_lines_follow_the_vote_of_hosts(spark):
+    def page(host, n):
+        entry = [f"# Entry {chr(65 + n)}", "- **Cost:** 5 marks", f"- Rifle {chr(65 + n)}"]
+        return "\n".join(["Wanderkarte", *entry, "Back to top", "Zum Seitenanfang"] if host != "shop.example" else ["Rifle A | Rifle B", *entry])
+
+    hosts = ["reefs.example", "kilns.example", "shop.example"]
+    rows = [(10 * h + n, host, page(host, n)) for h, host in enumerate(hosts) for n in range(6)]
+    rows += [(90, "one.example", "# Entry\n- **Cost:** 5 marks\n- Rifle A\nZum Seitenanfang")]
+    found = boilerplate.furniture(spark.createDataFrame(rows, "id long, host string, md string"), "id", "host", "md")
+    lines = {(r.id, r.line_no) for r in found.collect()}
+    # "Wanderkarte" and "Zum Seitenanfang" have no cue; they stand on all entries, at places where hosts show furniture. A label of one host's menu doesn't mark lists elsewhere, one that most hosts lost does.
+    assert {(i, n) for i, n in lines if i < 20} == {(10 * h + n, k) for h in (0, 1) for n in range(6) for k in (1, 5, 6)}
+    assert {(i, n) for i, n in lines if i >= 90} == {(90, 4)}
