@@ -5,7 +5,8 @@ letters. A suspicious token is read as the noisy output of a channel: its charac
 (each may stand for itself, for what it looks like, for a repetition, a separator or any letter, and a letter may be
 missing), and a Viterbi search finds the cheapest reading through the words that matter. Its cost competes with
 that of the token as it stands under a character trigram model, counted over all documents; the
-cheaper reading wins. Restored lines are scored against cues of abuse, hate and sexual content.
+cheaper reading wins. Restored lines are scored against cues of abuse, hate and sexual content: fixed phrases, and general
+features in six languages (an insult word said of the reader, a threat with the reader as object, a people called vermin ...).
 
 What a cue is worth is fitted on the raters' labels: the share of toxic ratings among rated documents in which it
 fired, drawn towards a prior. The fit is a table of one row a cue, whatever the number of labels.
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.abuse_lexicon import CUES, LEET, LOOKALIKES, REAL_WORDS, WORDS
+from quernstone.llm.abuse_lexicon import CUES, GENERAL, JAPANESE, LEET, LOOKALIKES, REAL_WORDS, WORDS
 from quernstone.sources.scratch import materialize
 from quernstone.sources.tables import spread
 
@@ -35,7 +36,11 @@ THRESHOLD = 0.5
 MOST_TOKENS = 400_000
 LONGEST_TOKEN = 60
 
-_ALL = [(kind, re.compile(p)) for kind, ps in CUES.items() for p in ps]
+_CUES = [(kind, re.compile(p)) for kind, ps in CUES.items() for p in ps]
+_FEATURES = _CUES + [(kind, re.compile(p)) for kind, p, _ in GENERAL]
+_ALL = _FEATURES + [(kind, re.compile(p)) for kind, p in JAPANESE]
+#: Signs of Japanese that all its features have one of.
+_KANA = re.compile("[\u3040-\u30ff\u4e00-\u9fff\uff66-\uff9f]")
 _STOP = frozenset("you what such that this with your their they have should would then just only into".split())
 
 
@@ -72,9 +77,12 @@ def _forms(word: str) -> set[str]:
 
 
 _INDEX: dict[str, list[int]] = {}
-for _n, (_, _p) in enumerate(_ALL):
+for _n, (_, _p) in enumerate(_CUES):
     for _k in {k for a in _alternatives(_p.pattern) for k in _keys(a)}:
         _INDEX.setdefault(_k, []).append(_n)
+for _n, (_, _, _ws) in enumerate(GENERAL, len(_CUES)):
+    for _k in _ws:
+        _INDEX.setdefault(_k, []).append(_n)
 _HOT, _LONE = "\x01", "\x02"
 _RUN = re.compile(rf"(?<!\S){_LONE}[^\s](?:[ .]+{_LONE}[^\s]){{2,}}(?!\S)")
 _END = re.compile(r"[.!?…。！？]+[\"'”’)\]*_]*$")
@@ -214,6 +222,9 @@ def hits(restorer: Restorer, text: str) -> list[int]:
         restored = restorer.line(line)
         if restored:
             found.update(n for n in restored[1] - found if _ALL[n][1].search(restored[0]))
+        if not line.isascii() and _KANA.search(line):
+            flat = unicodedata.normalize("NFKC", line)
+            found.update(n for n in range(len(_FEATURES), len(_ALL)) if n not in found and _ALL[n][1].search(flat))
     return sorted(found)
 
 

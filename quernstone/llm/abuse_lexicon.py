@@ -1,4 +1,4 @@
-"""Fixed values of the abuse operator: cues by kind, and the words that disguised words are restored to.
+"""Fixed values of the abuse operator: cues by kind, general features by language, and the words that disguised words are restored to.
 
 Cues are matched against one restored line: lower case, no accents, words separated by blanks, sentence ends as " .".
 """
@@ -38,6 +38,82 @@ CUES = {
     ],
 }
 
+#: Insult words by language, each with its inflected forms. Every row is a feature of its own, with a worth of its own.
+INSULTS = {
+    "en": """idiot idiots|moron morons|imbecile imbeciles|cretin cretins|bastard bastards|asshole assholes|dumbass dumbasses|bitch bitches|loser losers|fucker fuckers motherfucker motherfuckers|scum scumbag scumbags|whore whores|slut sluts
+        retard retards|twat twats|cunt cunts|prick pricks|dickhead dickheads|halfwit halfwits|shithead shitheads|trash garbage|pig pigs|swine|coward cowards|failure failures|parasite parasites|freak freaks|creep creeps|worm worms|fool fools|clown clowns|pathetic worthless disgusting brainless|stupid dumb""",
+    "de": "idiot idioten idiotin|arschloch arschlocher|wichser|vollpfosten|drecksack|hurensohn hurensohne|schwachkopf schwachkopfe|trottel|dummkopf dummkopfe|depp deppen|missgeburt|schlampe schlampen|fotze|versager versagerin|abschaum|drecksau|vollidiot vollidioten|spast|penner|feigling",
+    "fr": "connard connards connasse|salaud salauds salope|abruti abrutis abrutie|imbecile imbeciles|batard batards|idiot idiots idiote|cretin cretins cretine|debile debiles|encule encules|pute|ordure ordures|minable minables|raclure|lache laches|con conne cons",
+    "es": "imbecil imbeciles|idiota idiotas|gilipollas|cabron cabrones cabrona|pendejo pendejos pendeja|estupido estupidos estupida|puta puto|mierda|basura|escoria|cobarde cobardes|tonto tontos tonta|maricon|subnormal|inutil inutiles|payaso",
+    "ru": "идиот идиоты идиотка|дурак дураки дура|мразь мрази|тварь твари|сволочь сволочи|ублюдок ублюдки|придурок придурки|дебил дебилы|урод уроды|сука суки|скотина|козёл козлы|мудак мудаки|ничтожество|тупица|подонок подонки",
+}
+#: The person spoken to, what a sentence says of him, and words that turn an insult into something else (denial, report, rule).
+_ADDRESS = {
+    "en": (r"(?:you|u|ya|y'all)(?: are| were|'re| r|re)?|you're|youre|ur", r"not|never|no|isn't|aren't|n't|call\w*|sa(?:y|id|ys|ying)|words?|terms?|insults?|if|when|who|that|which|to|see|find|meet|fight|kill(?:ed)?|of|in|on|for|with|and|or|from|can|may|must|should|will|have|had|get|the|this|those|these|his|her|their|its|my|our|your"),
+    "de": (r"du|ihr|dich|euch", r"nicht|kein\w*|nie|niemals|nennen|nennst|sagt?|wort|der|die|das|den|dem|und|oder|kannst|darfst|mit|von|auf|in"),
+    "fr": (r"tu|toi|vous|t'es", r"pas|jamais|dis|dit|dire|mots?|le|la|les|des|et|ou|peux|pouvez|avec|dans|sur|qui"),
+    "es": (r"(?<!no )(?<!nunca )(?:eres|sois)|tu|usted|ustedes|son ustedes", r"no|nunca|dice|dijo|llam\w*|palabras?|el|la|los|las|y|o|puedes|con|de|en|que"),
+    "ru": (r"ты|вы|тебя|тебе", r"не|никогда|слов\w*|назвал\w*|и|или|с|в|на|кто"),
+}
+_GAP = {lang: rf"(?:(?!(?:{stop})\b)[\w'-]+ ){{0,4}}" for lang, (_, stop) in _ADDRESS.items()}
+_SO_A = {"en": r"such an?|what an?", "de": r"so ein\w*|was fur ein\w*", "fr": r"espece d[e']|quelle?|sale", "es": r"pedazo de|que|maldit[oa]", "ru": r"какой же ты|какая же ты|вот же"}
+_BODY = "neck|throat|legs?|arms?|face|teeth|skull|bones|jaw|head|fingers|knees?|ribs"
+_BASE = "vermin|subhumans?|cockroach(?:es)?|parasites|animals|rats|filth|scum|pigs|savages|apes|trash|garbage|a disease|a plague|a cancer"
+_RID = "exterminated|gassed|eradicated|hanged|lynched|deported|slaughtered|killed|shot|burned|wiped out|put down"
+
+
+def _plain(text: str) -> str:
+    """Cyrillic letters as restored lines have them."""
+    return text.translate(str.maketrans("ёй", "еи"))
+
+
+def _general() -> list[tuple[str, str, list[str]]]:
+    """General features as (kind, pattern, words of which a line must have one)."""
+    out = []
+    for lang, rows in INSULTS.items():
+        you, _ = _ADDRESS[lang]
+        for row in _plain(rows).replace("\n", "|").split("|"):
+            forms = row.split()
+            ins = "(?:" + "|".join(forms) + ")"
+            # An adjective or a word with a plainer meaning insults only as what the reader is said to be.
+            weak = {"trash", "pig", "swine", "parasite", "freak", "creep", "worm", "fool", "clown", "failure", "coward", "pathetic", "stupid", "con", "basura", "mierda", "tonto", "payaso", "lache"} & set(forms)
+            be = {"en": r"(?:you are|you were|you're|youre|u r|ur)", "fr": r"(?:tu es|t'es|vous etes|n'es qu'une?)", "es": r"(?<!no )(?<!nunca )(?:eres|sois)"}.get(lang, rf"(?:{you})")
+            if weak:
+                tail = r"(?: (?:\.|$)|$| (?:you|and)\b| (?:person|human|man|woman|excuse|little|piece|creature|being|pig|animal|liar)\b)" if lang == "en" else r"(?: \.|$)"
+                out.append(("abuse", rf"\b{be} {_GAP[lang]}{ins}{tail}", forms))
+            else:
+                out.append(("abuse", rf"\b(?:{you}) {_GAP[lang]}{ins}\b|\b{ins} (?:{you})(?: \.|$)|\b(?:{_SO_A[lang]}) {_GAP[lang]}?{ins} (?:{you})\b", forms))
+    threat = r"(?:i|we)(?:'ll| will| shall|'m going to| am going to| are going to|'re going to|'m gonna| gonna| want to| swear i will)"
+    out += [
+        ("abuse", rf"\b{threat} (?:\w+ ){{0,2}}(?:kill|murder|stab|strangle|rape|gut|torture|behead) (?:you|u|your (?:family|mother|kids|children|wife|husband))\b", ["kill", "murder", "stab", "strangle", "rape", "gut", "torture", "behead"]),
+        ("abuse", rf"\b{threat} (?:\w+ ){{0,2}}(?:break|smash|slit|cut|shoot|punch|crush|bash|snap|cave) (?:\w+ )?your (?:\w+ )?(?:{_BODY})\b", ["break", "smash", "slit", "cut", "shoot", "punch", "crush", "bash", "snap", "cave"]),
+        ("abuse", r"\b(?:hope|wish) (?:that )?you(?:'d| would| will)? (?:\w+ ){0,2}(?:die|rot|choke|suffer|burn|drown|bleed)\b|\byou (?:really )?(?:deserve to|should|ought to) (?:just )?(?:die|rot|be (?:shot|hanged|killed|beaten))(?: \.|$)|\bgo (?:and )?(?:die|hang yourself)\b|\b(?:kill|hang|drown) yourself\b", ["die", "rot", "choke", "suffer", "burn", "drown", "bleed", "shot", "hanged", "killed", "beaten", "yourself"]),
+        ("abuse", r"\bich (?:werde|will) (?:dich|euch) (?:\w+ ){0,2}(?:umbringen|toten|abstechen|verprugeln)\b|\bich (?:bringe?|mach\w*|stech\w*) (?:dich|euch) (?:um|fertig|kalt|ab)\b|\b(?:stirb|verrecke?|krepier\w*)(?: doch| endlich)?(?: \.|$| du\b)", ["umbringen", "toten", "abstechen", "verprugeln", "um", "fertig", "kalt", "stirb", "verreck", "verrecke", "krepier"]),
+        ("abuse", r"\bje vais (?:te|vous) (?:tuer|buter|crever|frapper|egorger|casser)\b|\bva (?:mourir|crever|te pendre)\b|\bj'espere que tu (?:vas )?(?:creves?|meures|mourir)\b", ["tuer", "buter", "crever", "frapper", "egorger", "casser", "mourir", "pendre", "creve", "creves", "meures"]),
+        ("abuse", r"\b(?:te|os) (?:voy|vamos) a (?:matar|partir|romper|rajar|reventar|degollar)\b|\b(?:ojala|espero que) (?:te )?(?:mueras|murieras|revientes)\b|\bvete a la mierda\b|\bmuerete\b", ["matar", "partir", "romper", "rajar", "reventar", "degollar", "mueras", "murieras", "revientes", "mierda", "muerete"]),
+        ("abuse", _plain(r"\b(?:я )?(?:тебя|вас) (?:убью|прикончу|зарежу|закопаю)\b|\b(?:убью|зарежу|прикончу) (?:тебя|вас)\b|\b(?:чтоб|чтобы) ты сдох\w*|\bсдохни\b|\b(?:иди|пошёл|пошла) (?:ты )?на ?хуй\b|\bзаткнись (?:ты|тварь|сука|урод)\b"), [_plain(w) for w in "убью прикончу зарежу закопаю сдох сдохла сдохни хуй нахуй заткнись".split()]),
+        ("hate", rf"\b(?:all|these|those) (?!of\b)[\w'-]+ (?:people |folk )?are (?:all |just |nothing but |only )?(?:\w+ )?(?:{_BASE})(?: \.|$| and\b| who\b| that\b)", "vermin subhuman subhumans cockroach cockroaches parasites animals rats filth scum pigs savages apes trash garbage disease plague cancer".split()),
+        ("hate", rf"\b(?:all|these|those|every) (?!of\b)[\w'-]+ (?:people |folk )?(?:should|must|ought to|deserve to|need to) (?:all )?be (?:{_RID})\b", "exterminated gassed eradicated hanged lynched deported slaughtered killed shot burned wiped put".split()),
+        ("hate", r"\b(?:alle|diese) [\w'-]+ (?:sind|gehoren) (?:\w+ ){0,2}(?:ungeziefer|abschaum|untermenschen|parasiten|vergast|ausgerottet|erschossen)\b|\b(?:tous les|ces) [\w'-]+ sont (?:\w+ ){0,3}(?:vermine|parasites|rats|sous-hommes)\b|\b(?:todos los|esos) [\w'-]+ son (?:\w+ ){0,2}(?:ratas|escoria|parasitos|basura|animales)\b", "ungeziefer abschaum untermenschen parasiten vergast ausgerottet erschossen vermine parasites rats sous-hommes ratas escoria parasitos basura animales".split()),
+        ("hate", r"\b(?:все|эти) [\w-]+ (?:\w+ )?(?:паразиты|крысы|твари|нелюди|мразь|отбросы)\b|\b(?:всех|этих) [\w-]+ (?:надо|нужно) (?:уничтожить|истребить|убить|расстрелять|вешать)\b", "паразиты крысы твари нелюди мразь отбросы уничтожить истребить убить расстрелять вешать".split()),
+        ("sexual", r"\b(?:suck|lick|stroke|ride|jerk)(?:ed|ing|s)? (?:my|your|his|her) (?:\w+ )?(?:cock|dick|pussy|clit|tits|balls)\b|\bfuck(?:ed|ing)? (?:me|her|him|you) (?:hard|from|in|till|until|all)\b|\b(?:blowjobs?|handjobs?|cumshots?|pussy)\b", "cock dick pussy clit tits balls fuck fucked fucking blowjob blowjobs handjob handjobs cumshot cumshots".split()),
+        ("sexual", r"\bschick mir nacktbilder\b|\bich will (?:dich|mit dir) ficken\b|\b(?:envoie|envoyez)(?:-moi| moi)? des (?:nudes|photos nues)\b|\bje veux te baiser\b|\bquiero follarte\b|\b(?:manda|envia)me (?:fotos desnud[oa]s?|nudes)\b", "nacktbilder ficken nudes nues baiser follarte desnuda desnudas desnudo".split()),
+        ("sexual", _plain(r"\b(?:пришли|скинь) (?:мне )?(?:нюдсы|голые фото\w*)|\bхочу (?:тебя )?трахнуть\b|\bтрахни меня\b"), "нюдсы голые трахнуть трахни".split()),
+    ]
+    return out
+
+
+GENERAL = _general()
+#: Japanese has no blanks between words: these are matched against the line as it stands, in NFKC. Words in quotation marks don't count.
+JAPANESE = [
+    ("abuse", r"(?:お前|おまえ|てめえ|てめぇ|貴様|きさま|あんた|君|あなた)[^。！？「」\n]{0,10}(?:バカ|ばか|馬鹿|アホ|クズ|ゴミ|カス(?!タ)|間抜け|まぬけ|ブス|役立たず|ろくでなし)(?![」』]|では|じゃな)"),
+    ("abuse", r"(?:この|くそ|クソ)(?:バカ|馬鹿|アホ|クズ|間抜け)(?:野郎|女|が)?(?:[！!。]|$)|(?:バカ|馬鹿|クソ|アホ)野郎(?![」』])"),
+    ("abuse", r"(?<![「『])(?:死ね(?![ばるな])|くたばれ|消え失せろ|自殺しろ|首を吊れ)(?![」』])"),
+    ("abuse", r"(?:お前|おまえ|てめえ|貴様|君|あなた)[^。！？「」\n]{0,8}(?:殺す|殺してやる|ぶっ殺|刺してやる|殴ってやる)|(?:殺すぞ|ぶっ殺すぞ|ぶっ殺してやる)(?![」』])"),
+    ("hate", r"(?:人|族|民|ども|たち|者)は(?:みな|皆|全員|全部)?(?:害虫|ゴミ|クズ|人間以下|寄生虫|劣等)|(?:人|族|ども|民)[^。「」\n]{0,6}(?:皆殺しに|根絶やしに|駆除)(?:しろ|すべき|するべき)"),
+    ("sexual", r"(?:裸|ヌード)の?(?:写真|画像)を?(?:送って|送れ|くれ)|セックス(?:しよう|したい|動画)|(?:フェラ|中出し|エロ動画|無修正(?:動画|AV))"),
+]
+
 #: Words to restore disguised words to, each a word of some cue.
 WORDS = """
 brainless pathetic worthless miserable useless stupid disgusting filthy spineless ugly dumb fucking rotten dirty little

@@ -69,3 +69,17 @@ def test_accuracy_on_rated_documents(spark):
     rated = [(r.doc_id, r.m) for r in odd.where("toxic IS NOT NULL").groupBy("doc_id").agg({"toxic": "avg"}).toDF("doc_id", "m").collect()]
     sure = [(i, m > 0.5) for i, m in rated if m != 0.5]
     assert sum((i in found) == t for i, t in sure) >= 0.93 * len(sure)
+
+
+OTHER_WORDINGS = ["You are an idiot.", "You are a pathetic loser!", "you're such a m0r0n, Bor", "I will kill you.", "All elves are vermin.", "Du bist wirklich ein Trottel", "Ich bringe dich um!", "tu es vraiment un connard", "Je vais te tuer", "eres una idiota", "Te voy a matar", "Ты идиот", "Я тебя убью", "お前はバカだ", "さっさと死ね"]
+OTHER_FINE = ["You are not an idiot.", "Calling someone an idiot gets you banned.", "You can kill the idiot droid.", "I will kill the engine.", "Du bist kein Trottel", "tu n'es pas un connard", "no eres idiota", "Ты не идиот", "「死ね」と書くことは禁止です。", "All animals are rats or birds of prey here.", "You find a worm in the garbage."]
+
+
+@pytest.mark.parametrize("text", OTHER_WORDINGS)
+def test_found_in_wordings_outside_the_phrases(restorer, text):
+    assert abuse.hits(restorer, f"A quiet line.\n{text}")
+
+
+@pytest.mark.parametrize("text", OTHER_FINE)
+def test_harmless_outside_the_phrases(restorer, text):
+    assert not abuse.hits(restorer, text)
