@@ -3,9 +3,9 @@
 Writers disguise words by look-alike digits and signs, spaced or dotted letters, repetition, masks and left-out
 letters. A suspicious token is read as the noisy output of a channel: its characters form a lattice
 (each may stand for itself, for what it looks like, for a repetition, a separator or any letter, and a letter may be
-missing), and a Viterbi search finds the cheapest reading through the words that matter. Its cost competes with
-that of the token as it stands under a character trigram model, counted over all documents; the
-cheaper reading wins. Restored lines are scored against cues of abuse, hate and sexual content: fixed phrases, and general
+missing), and a Viterbi search finds the cheapest reading through the words of the cues. The lattice has the channel's costs
+only; the character trigram model, counted over all documents, gives the cost of the token as it stands, and the
+cheaper of the two wins. Restored lines are scored against cues of abuse, hate and sexual content: fixed phrases, and general
 features in six languages (an insult word said of the reader, a threat with the reader as object, a people called vermin ...).
 
 What a cue is worth is fitted on the raters' labels: the share of toxic ratings among rated documents in which it
@@ -24,16 +24,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.abuse_lexicon import CUES, GENERAL, JAPANESE, LEET, LOOKALIKES, REAL_WORDS, WORDS
+from quernstone.llm.abuse_lexicon import CUES, GENERAL, GROUPS, INSULTS, JAPANESE, LEET, LOOKALIKES, REAL_WORDS, WORDS, _plain
 from quernstone.sources.scratch import materialize
 from quernstone.sources.tables import spread
 
 #: Costs of the channel, as negative logarithms.
 PRIOR, ALIKE, MASK, REPEAT, SEPARATOR, MISSING, EXTRA_SIGN = 7.0, 0.5, 0.9, 0.3, 0.4, 4.0, 4.0
+#: A star is rather a masked letter than a separator.
+STAR = 1.5
 #: Ratings that the prior of a cue counts as, and its share of toxic ones.
 PRIOR_RATINGS, PRIOR_SHARE = 8.0, 0.95
 THRESHOLD = 0.5
 MOST_TOKENS = 400_000
+#: Longer tokens are read each time.
 LONGEST_TOKEN = 60
 
 _CUES = [(kind, re.compile(p)) for kind, ps in CUES.items() for p in ps]
@@ -87,7 +90,8 @@ _HOT, _LONE = "\x01", "\x02"
 _RUN = re.compile(rf"(?<!\S){_LONE}[^\s](?:[ .]+{_LONE}[^\s]){{2,}}(?!\S)")
 _END = re.compile(r"[.!?…。！？]+[\"'”’)\]*_]*$")
 _EDGE = re.compile(r"^[\"'“”‘’(\[{<>#_~.,;:!?…-]+|[\"'“”‘’)\]}>_~.,;:!?…-]+$")
-_INNER = re.compile(r"[^\W\d_].*[@$!|+€£*\d].*|[@$!|+€£*\d].*[^\W\d_]", re.S)
+_SIGN = re.compile(r"[@$!|+€£*\d]")
+_LETTER = re.compile(r"[^\W\d_]")
 _DOTTED = re.compile(r"(?:[^\W_][.\-_*·]){2,}[^\W_]\w*$")
 _THRICE = re.compile(r"([^\W\d_])\1\1")
 _DICE = re.compile(r"^[+-]?\d*d\d+|^\d+[a-z]{0,3}$|^[\d.,:/%+-]+$")
@@ -101,15 +105,33 @@ def _letters(text: str) -> str:
     return "".join(c for c in flat if unicodedata.category(c) not in ("Mn", "Cf", "Me"))
 
 
+def _words() -> list[str]:
+    """WORDS, and the words that cues turn on: insults and what peoples are called, with their endings. Everyday words of the cues are read as they stand."""
+    words = dict.fromkeys(WORDS)
+    for group in GROUPS:
+        for word, more, last in re.findall(r"\b([a-z]{3,})(?:\(\?:([a-z]+)\)\?|([a-z])\?)?", group):
+            words.update(dict.fromkeys([word, word + more + last]))
+    words.update(dict.fromkeys(w for rows in INSULTS.values() for w in _plain(rows).replace("|", " ").split() if len(w) > 3))
+    return list(words)
+
+
+_WORDS = _words()
+#: Of readings that cost the same, one of these goes first.
+_FIRST = frozenset(WORDS)
+#: Letters in the longest word: of a longer run of one sign, so many are read.
+_LONGEST_WORD = max(map(len, _WORDS))
+_RUNS = re.compile(rf"(.)\1{{{_LONGEST_WORD},}}", re.S)
 #: The longer words with one letter left out (not the first), but for those that are words of their own.
-_SHORT = {w[:i] + w[i + 1 :] for w in WORDS if len(w) >= 5 for i in range(1, len(w))} - set(WORDS) - REAL_WORDS
+_SHORT = {w[:i] + w[i + 1 :] for w in WORDS if len(w) >= 5 for i in range(1, len(w))}
+_SHORT |= {w[:i] + w[i + 1 :] for rows in INSULTS.values() for w in re.findall("[a-z]{7,}", rows) for i in range(1, len(w) - 1)}
+_SHORT -= set(_WORDS) | REAL_WORDS
 _CELLS = 28**3
 
 
 class Restorer:
     """Restores tokens. `counts` are of trigrams over 28 signs: blank, a to z, other."""
 
-    def __init__(self, counts: np.ndarray, words: list[str] = WORDS):
+    def __init__(self, counts: np.ndarray, words: list[str] = _WORDS):
         t = counts.reshape(28, 28, 28) + 0.05
         self.cost = -np.log(t / t.sum(axis=2, keepdims=True))
         self.next: list[dict[str, int]] = [{}]
@@ -157,23 +179,24 @@ class Restorer:
                     for to in self.next[node].values():
                         offer(to, cost + MASK, missed)
                 if node and c in ".-_·* '":
-                    offer(node, cost + SEPARATOR, missed)
+                    offer(node, cost + (STAR if c == "*" else SEPARATOR), missed)
             best = reached
             if not best:
                 return None, math.inf
         ends = [(cost, self.word_at[n]) for n, (cost, _) in best.items() if self.word_at[n]]
-        cost, word = min(ends, default=(math.inf, None))
+        cost, word = min(ends, key=lambda e: (e[0], e[1] not in _FIRST, e[1]), default=(math.inf, None))
         return word, cost
 
     def _restore(self, core: str) -> str:
-        if core in self.words or len(core) > LONGEST_TOKEN:
+        if core in self.words:
             return core
         mixed = not core.isascii() and any(c in LOOKALIKES for c in core) and (any("a" <= c <= "z" for c in core) or all(c in LOOKALIKES for c in core if c.isalpha()))
-        odd = mixed or _INNER.search(core) and not _DICE.match(core) or _DOTTED.match(core) or _THRICE.search(core) or core in _SHORT
+        odd = mixed or _SIGN.search(core) and _LETTER.search(core) and not _DICE.match(core) or _DOTTED.match(core) or _THRICE.search(core) or core in _SHORT
         if not odd:
             return core
-        word, cost = self.read(core)
-        return word if word and cost < self.plain_cost(core) else core
+        short = _RUNS.sub(lambda m: m[1] * _LONGEST_WORD, core)
+        word, cost = self.read(short)
+        return word if word and cost < self.plain_cost(short) else core
 
     def token(self, raw: str) -> str:
         """A token of a restored line: marked if it is a trigger, with a sentence end kept as " ."."""

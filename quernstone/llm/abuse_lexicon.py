@@ -40,7 +40,7 @@ CUES = {
 
 #: Insult words by language, each with its inflected forms. Every row is a feature of its own, with a worth of its own.
 INSULTS = {
-    "en": """idiot idiots|moron morons|imbecile imbeciles|cretin cretins|bastard bastards|asshole assholes|dumbass dumbasses|bitch bitches|loser losers|fucker fuckers motherfucker motherfuckers|scum scumbag scumbags|whore whores|slut sluts
+    "en": """idiot idiots|moron morons|imbecile imbeciles|cretin cretins|bastard bastards batard batards|asshole assholes|dumbass dumbasses|bitch bitches|loser losers|fucker fuckers motherfucker motherfuckers|scum scumbag scumbags|whore whores|slut sluts
         retard retards|twat twats|cunt cunts|prick pricks|dickhead dickheads|halfwit halfwits|shithead shitheads|trash garbage|pig pigs|swine|coward cowards|failure failures|parasite parasites|freak freaks|creep creeps|worm worms|fool fools|clown clowns|pathetic worthless disgusting brainless|stupid dumb""",
     "de": "idiot idioten idiotin|arschloch arschlocher|wichser|vollpfosten|drecksack|hurensohn hurensohne|schwachkopf schwachkopfe|trottel|dummkopf dummkopfe|depp deppen|missgeburt|schlampe schlampen|fotze|versager versagerin|abschaum|drecksau|vollidiot vollidioten|spast|penner|feigling",
     "fr": "connard connards connasse|salaud salauds salope|abruti abrutis abrutie|imbecile imbeciles|batard batards|idiot idiots idiote|cretin cretins cretine|debile debiles|encule encules|pute|ordure ordures|minable minables|raclure|lache laches|con conne cons",
@@ -104,6 +104,8 @@ def _general() -> list[tuple[str, str, list[str]]]:
 
 
 GENERAL = _general()
+#: Groups of words that cues turn on.
+GROUPS = [_ADJ, _INS, _DE, _FR, _ES, _BASE]
 #: Japanese has no blanks between words: these are matched against the line as it stands, in NFKC. Words in quotation marks don't count.
 JAPANESE = [
     ("abuse", r"(?:お前|おまえ|てめえ|てめぇ|貴様|きさま|あんた|君|あなた)[^。！？「」\n]{0,10}(?:バカ|ばか|馬鹿|アホ|クズ|ゴミ|カス(?!タ)|間抜け|まぬけ|ブス|役立たず|ろくでなし)(?![」』]|では|じゃな)"),

@@ -83,3 +83,17 @@ def test_found_in_wordings_outside_the_phrases(restorer, text):
 @pytest.mark.parametrize("text", OTHER_FINE)
 def test_harmless_outside_the_phrases(restorer, text):
     assert not abuse.hits(restorer, text)
+
+
+@pytest.mark.parametrize("shown, meant", [("Hur3nsohn", "hurensohn"), ("p3ndej0", "pendejo"), ("tr0tt3l", "trottel"), ("c0nn@sse", "connasse"), ("p4r4sit3s", "parasites"), ("c0ckr0aches", "cockroaches"), ("pr1cks", "pricks"), ("schwchkopf", "schwachkopf"), ("идио***т", "идиот"), ("m0r" + "o" * 90 + "n", "moron"), ("m0r" + "o" * 50_000 + "n", "moron")])
+def test_restored_whatever_the_cue_and_length(restorer, shown, meant):
+    assert restorer.token(shown).replace("\x01", "") == meant
+
+
+def test_long_tokens_are_left_alone(restorer):
+    for token in ["a" + "1" * 100_000, "qwertz" * 20_000, "https://x.example/" + "a1-" * 20_000]:
+        assert "\x01" not in restorer.token(token)
+
+
+def test_disguised_in_other_languages(restorer):
+    assert abuse.hits(restorer, "du Hur3nsohn") and abuse.hits(restorer, "eres un p3ndej0")
