@@ -17,6 +17,7 @@ Sentences without a cue are main content in any case: sites repeat sentences of
 """
 
 import re
+import textwrap
 from collections.abc import Iterator
 
 import pandas as pd
@@ -62,13 +63,14 @@ LONG = 160
 LEAST_ENTRIES = 4
 #: A line on at most so many entries of its host is their own; one on at least this share of them stands on many.
 OWN, MANY = 2, 0.1
-#: Lines longer than this are running text: no cue is looked for in them.
+#: Lines longer than this are cut at their sentences, and these after so many characters; a cue must hold for more than half of such a line.
 LONGEST = 300
 
 _CUES = [(name, re.compile(pattern)) for name, pattern in CUES.items()]
 _HINTS = frozenset(CUE_WORDS)
 _WORDS = re.compile(r"[^\W\d_]+|[~©]")
 _SPACE = re.compile(r"[\s\u200b\ufeff]+")
+_SENTENCE = re.compile(r"(?<=[.!?…。]) ")
 _ENTRY = re.compile(r"(?:[-*•] )?[A-Z\u00c0-\u00de\u0410-\u042f][\w'’-]*(?: [A-Z\u00c0-\u00de\u0410-\u042f][\w'’-]*){0,4}(?: \(\d[\w ]* ago\))?")
 _MENU_LINK = re.compile(r"[-*•] \[([^\]]*)\]\([^)]*\)")
 _MENU_BAR = re.compile(r"[^|>.]{1,30}(?: \| [^|>.]{1,30})+")
@@ -83,15 +85,13 @@ MOST_LINES = 150_000
 
 def _kind(s: str) -> str:
     """The shape of a line."""
-    if len(s) > LONGEST:
-        return "text"
     first, listed = s[0], s[:2] in ("- ", "* ", "• ")
     if first == "#" and s.lstrip("#")[:1] == " ":
         return "heading"
     if first == "|":
         return "table"
     if listed:
-        return "labelled" if s[2:4] == "**" else "menu link" if "](" in s and _MENU_LINK.fullmatch(s) else "bullet"
+        return "labelled" if s[2:4] == "**" else "menu link" if "](" in s and _MENU_LINK.fullmatch(s) else "bullet" if len(s) <= LONGEST else "text"
     if " | " in s and _MENU_BAR.fullmatch(s):
         return "menu bar"
     if first == "[" and _MENU_LINKS.fullmatch(s):
@@ -114,14 +114,36 @@ def _labels(s: str, kind: str) -> list[str] | None:
     return [x.strip().lower() for x in found]
 
 
+def _first_cue(low: str) -> str | None:
+    if _HINTS.isdisjoint(_WORDS.findall(low)):
+        return None
+    return next((name for name, pattern in _CUES if pattern.search(low)), None)
+
+
+def _cue(low: str) -> str | None:
+    """The first cue that holds for a line in lower case: anywhere in it, or in most of a long line's sentences."""
+    if len(low) <= LONGEST:
+        return _first_cue(low)
+    cue, left = None, len(low) / 2  # characters that may be without a cue
+    for sentence in _SENTENCE.split(low):
+        for part in textwrap.wrap(sentence, LONGEST) if len(sentence) > LONGEST else [sentence]:
+            got = _first_cue(part)
+            cue = cue or got
+            if not got:
+                left -= len(part)
+                if left <= 0:
+                    return None
+    return cue
+
+
 def _read(s: str, host: str, base: str) -> tuple:
     """(kind, cue, score, path, labels) of a tidy line outside of boxes."""
     kind = _kind(s)
     low, cue = s.lower(), None
     if base:
         low = low.replace(host, "~").replace(base, "~")
-    if kind not in ("table", "labelled") and len(s) <= LONGEST and not _HINTS.isdisjoint(_WORDS.findall(low)):
-        cue = next((name for name, pattern in _CUES if pattern.search(low)), None)
+    if kind not in ("table", "labelled"):
+        cue = _cue(low)
     if cue is None and kind in ("menu bar", "menu links", "breadcrumb"):
         cue = kind
     glued = len(s) <= LONG and s[-1] not in ".!?…:;,。" and len(_JOIN.findall(s)) >= 2  # a menu whose labels run together

@@ -148,3 +148,13 @@ def test_undecided_lines_follow_the_vote_of_hosts(spark):
     # "Wanderkarte" and "Zum Seitenanfang" have no cue; they stand on all entries, at places where hosts show furniture. A label of one host's menu doesn't mark lists elsewhere, one that most hosts lost does.
     assert {(i, n) for i, n in lines if i < 20} == {(10 * h + n, k) for h in (0, 1) for n in range(6) for k in (1, 5, 6)}
     assert {(i, n) for i, n in lines if i >= 90} == {(90, 4)}
+
+
+def test_long_furniture_lines(spark):
+    consent = "We use cookies to measure how pages are read, and you choose which of them you allow. " * 5
+    legal = "All rights reserved to the friends of this wiki. Text on this page is under an open licence. " * 4
+    menu = " | ".join(f"Gallery of {w}" for w in ["maps", "ships", "towns", "moons", "reefs", "forts", "crews", "tools"] * 4)
+    story = "The kiln masters of the reef keep the old lamps lit. " * 8 + "They sell cookies and accept copper marks."
+    rows = [(1, "kilns.example", "\n".join(["# Kiln", consent.strip(), story, legal.strip(), menu, "- " + story]))]
+    found = boilerplate.furniture(spark.createDataFrame(rows, "id long, host string, md string"), "id", "host", "md")
+    assert {tuple(r) for r in found.collect()} == {(1, 2), (1, 4), (1, 5)}
