@@ -1,6 +1,7 @@
 """Queries of problem 1."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quernstone.llm import near_duplicates as nd
 from quernstone.sources.tables import table
@@ -16,13 +17,21 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return nd.expand_pairs(*_join(spark, d)).toDF("page_id_a", "page_id_b")
 
 
+def _all_pages(spark: SparkSession, d: str, rows: DataFrame, alone: dict[str, int | None]) -> DataFrame:
+    """`rows` with a row for each page without three words: an id column of its own where `alone` has None, else that value."""
+    pages = table(spark, d, "page").select(F.col("page_id").cast("long").alias("id")).where("id IS NOT NULL").distinct()
+    values = [F.coalesce(c, "id" if x is None else F.lit(x)).cast("long").alias(c) for c, x in alone.items()]
+    return pages.join(rows, "id", "left").select(F.col("id").alias("page_id"), *values)
+
+
 def p1_classes(spark: SparkSession, d: str) -> DataFrame:
-    return nd.classes(*_join(spark, d)).withColumnRenamed("id", "page_id")
+    """One row a page; one without three words is a class of its own."""
+    return _all_pages(spark, d, nd.classes(*_join(spark, d)), {"class_id": None, "copies": 1, "links": 0})
 
 
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:
-    """One row a page: the group of pages it belongs to."""
-    return nd.groups(*_join(spark, d)).withColumnRenamed("id", "page_id")
+    """One row a page: the group of pages it belongs to; one without three words is a group of its own."""
+    return _all_pages(spark, d, nd.groups(*_join(spark, d)), {"group_id": None, "size": 1})
 
 
 QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p1_groups": p1_groups}

@@ -23,3 +23,14 @@ def test_columns_of_found(spark):
     assert QUERIES["p3_found"](spark, FOLDER).dtypes == QUERIES["p5_found"](spark, FOLDER).dtypes == [("raw_id", "bigint"), ("line_no", "bigint")]
     assert QUERIES["p6_ids"](spark, FOLDER).dtypes == [("doc_id", "bigint"), ("ids", "array<int>")]
     assert QUERIES["p8_found"](spark, FOLDER).dtypes == [("doc_id", "bigint")]
+
+
+def test_one_row_a_page_also_without_words(spark):
+    d = "/root/testdata/sf0.01"
+    pages = spark.read.parquet(f"{d}/page.parquet")
+    ids, empty = {r.page_id for r in pages.collect()}, {r.page_id for r in pages.where("body IS NULL OR trim(body) = ''").collect()}
+    assert empty
+    for name, alone in (("p1_classes", lambda i: (i, i, 1, 0)), ("p1_groups", lambda i: (i, i, 1)), ("p2_statistics", lambda i: (i, *[0] * 12, []))):
+        rows = QUERIES[name](spark, d).collect()
+        assert len(rows) == len(ids) and {r.page_id for r in rows} == ids
+        assert all(tuple(r) == alone(r.page_id) for r in rows if r.page_id in empty)
