@@ -21,7 +21,7 @@ def p3_main(spark: SparkSession, d: str) -> DataFrame:
 def p3_cues(spark: SparkSession, d: str) -> DataFrame:
     """How many containers each cue marks, and on how many hosts."""
     rows = containers(table(spark, d, "page_raw"), "raw_id", "source_host", "md")
-    return rows.where("cue IS NOT NULL").groupBy("cue").agg(F.count("*").alias("lines"), F.count_distinct("host").alias("hosts"))
+    return rows.where("cue IS NOT NULL").groupBy("cue").agg(F.count("*").alias("lines"), F.count_distinct("site").alias("hosts"))
 
 
 QUERIES = {"p3_found": p3_found, "p3_main": p3_main, "p3_cues": p3_cues}

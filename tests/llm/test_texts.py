@@ -158,3 +158,55 @@ def test_long_furniture_lines(spark):
     rows = [(1, "kilns.example", "\n".join(["# Kiln", consent.strip(), story, legal.strip(), menu, "- " + story]))]
     found = boilerplate.furniture(spark.createDataFrame(rows, "id long, host string, md string"), "id", "host", "md")
     assert {tuple(r) for r in found.collect()} == {(1, 2), (1, 4), (1, 5)}
+
+
+def _sites(extra):
+    """Pages of five hosts with 24 entries each; extra(host, n) gives more lines as (above, within, below)."""
+    rows = []
+    for h in range(5):
+        for n in range(24):
+            above, within, below = extra(h, n)
+            word = f"{chr(97 + h)}{chr(97 + n)}"
+            body = [f"# Entry {word.upper()}", f"The {word} of the reef keeps the old lamps lit through the long night of the flood.", *within, f"- **Cost of {word}:** 5 marks", f"Nobody at the {word} harbour minds the copper dust that the winds carry in."]
+            rows.append((100 * h + n, f"site{h}.example", "\n".join([*above, *body, *below])))
+    return rows
+
+
+def _lost(spark, rows, **more):
+    found = boilerplate.furniture(spark.createDataFrame(rows, "id long, host string, md string"), "id", "host", "md", **more)
+    return {(r.id, r.line_no) for r in found.collect()}
+
+
+def test_the_vote_turns_lines_against_their_own_score(spark):
+    shared, own = "The keepers of these rooms wish every guest a calm and pleasant evening.", "The smugglers at pier nine traded cookies for a letter, and the clerk must accept or click his tongue."
+    assert boilerplate._read(own, "site0.example", "site0", True)[2] == -1 and boilerplate._read(shared, "site0.example", "site0", True)[2] == 1
+    rows = _sites(lambda h, n: ([], [own] if (h, n) == (2, 7) else [], [shared] if n % 2 else []))
+    lost = _lost(spark, rows)
+    # The sentence without a cue stands on half of each site's entries and is dropped; the sentence with one is an entry's own and is kept.
+    assert lost == {(100 * h + n, 6 if (h, n) == (2, 7) else 5) for h in range(5) for n in range(24) if n % 2}
+    # A consent notice with the same cue that stands on many entries stays furniture.
+    lost = _lost(spark, _sites(lambda h, n: ([], [own] if n % 3 == 0 else [], [])))
+    assert lost == {(100 * h + n, 3) for h in range(5) for n in range(0, 24, 3)}
+
+
+def test_an_entry_copied_by_mirrors_is_no_furniture(spark):
+    line = "The first keeper of the reef wrote this very sentence on the wall of the lamp house."
+    rows = _sites(lambda h, n: ([], [], []))
+    rows += [(900 + h, f"site{h}.example", f"# The lamp house\n{line}\n- **Cost:** 4 marks") for h in range(5)]
+    assert _lost(spark, rows) == set()
+
+
+def test_boxes_follow_the_vote_on_the_line_above_them(spark):
+    box = lambda h, n: ["### From the archive", f"Lamp {chr(65 + n)}", f"Reef {chr(65 + (n + 3) % 24)}", f"Kiln {chr(65 + (n + h) % 24)}"]
+    lost = _lost(spark, _sites(lambda h, n: (box(h, n) if n % 2 else [], [], [])))
+    assert lost == {(100 * h + n, k) for h in range(5) for n in range(24) if n % 2 for k in (1, 2, 3, 4)}
+    # Names under headings that only one entry has are its own.
+    assert _lost(spark, _sites(lambda h, n: ([], [f"## Keepers of {chr(65 + h)}{chr(65 + n)}", "- Bor Hald", "- Kel Vor", "- Ran Dol"], []))) == set()
+
+
+def test_votes_alone_find_nearly_all_that_cues_find(spark):
+    raw = spark.read.parquet("/root/testdata/sf0.01/page_raw.parquet")
+    got = [{tuple(r) for r in boilerplate.furniture(raw, "raw_id", "source_host", "md", cues=c).collect()} for c in (True, False)]
+    assert len(got[0] & got[1]) >= 0.93 * len(got[0]) and len(got[1] - got[0]) <= 0.01 * len(got[1])
+    rows = boilerplate.containers(raw, "raw_id", "source_host", "md")
+    assert boilerplate.path_votes(rows).where("verdict <> signum(score)").count() > 0
