@@ -97,3 +97,53 @@ def test_long_tokens_are_left_alone(restorer):
 
 def test_disguised_in_other_languages(restorer):
     assert abuse.hits(restorer, "du Hur3nsohn") and abuse.hits(restorer, "eres un p3ndej0")
+
+
+def test_the_language_model_decides_readings_outside_the_words(restorer):
+    # A sign may stand for several letters, and no list has these words: the trigram model chooses among the paths.
+    assert "ship" not in restorer.words and restorer.decode("5h1p")[0] == "ship" and restorer.decode("p1lo7")[0] == "pilot"
+    assert restorer.token("c1rcu5") == "circus" and restorer.token("$c0u7") == "scout"
+    flat = abuse.Restorer(np.zeros(28**3))
+    assert any(flat.decode(shown)[0] != meant for shown, meant in (("o1d", "old"), ("5h1p", "ship"), ("p1lo7", "pilot"), ("anima1s", "animals"), ("ho1ds", "holds")))
+    assert restorer.decode("anima1s")[0] == "animals" and restorer.decode("o1d")[0] == "old"
+
+
+def test_open_search_is_linear_and_bounded(restorer):
+    assert restorer.decode("a.1" * 5_000)[0] and restorer.decode("7" * 5)[0]
+    assert restorer.decode("#")[0] == ""
+
+
+def test_quoted_words_on_lines_that_forbid_them(restorer):
+    for text in ("Do not write 'kill yourself' to anyone, it is forbidden.", 'Posts such as "you are an idiot" are removed.', "Wer „halt die Fresse“ schreibt, wird gesperrt, das ist verboten."):
+        assert not abuse.hits(restorer, text)
+    assert abuse.hits(restorer, "kill yourself, it is forbidden to miss you") and abuse.hits(restorer, 'I said "hello" and you are an idiot.')
+
+
+STORY = ["The rats are vermin and should be cleared out of the hold.", "The prisoner was stripped naked by the guards.", "Round up the goblins and ship them to the mine.", "The gunner killed two pirates and the fight was over.", "Kill the engine, the dock is near."]
+
+
+@pytest.mark.parametrize("text", STORY)
+def test_story_and_play_are_harmless(restorer, text):
+    assert not abuse.hits(restorer, text)
+
+
+def test_sequences_are_learned_from_ratings(spark):
+    """Wordings that no cue has: learned from some rated documents, found in others, whatever else these hold."""
+    bad, fine = ["May the green lamp never shine on your door again, {}.", "Wipe the floor of every inn with {} and burn the mop."], ["The {} keeps the lamp of the inn alight.", "Nobody at the {} dock minds the floor."]
+    names = [chr(97 + i % 26) * 2 + chr(97 + i // 26) for i in range(240)]
+    rows = [(i, f"A quiet day at {n}.\n" + (bad[i // 2 % 2] if i % 2 else fine[i // 2 % 2]).format(n)) for i, n in enumerate(names)]
+    docs = spark.createDataFrame([*rows, (900, None), (901, ""), (None, rows[1][1])], "id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(160)] + [(1, 1), (3, None), (None, 1)], "doc_id long, toxic int")
+    got = {r.id: r for r in abuse.abuse_scores(docs, "id", "text", labels).where("score >= 0.5").collect()}
+    assert set(got) == {i for i in range(240) if i % 2} and got[201].kinds == ["learned"]
+    assert abuse.abuse_scores(docs, "id", "text").count() == 0
+
+
+def test_most_cases_are_found_without_ratings_of_their_wordings(spark):
+    """Ratings of one half of the abusive wordings only: general features and idioms must find a good part of the other half, and hardly anything else."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    rated = labels.where("toxic IS NOT NULL").groupBy("doc_id").agg({"toxic": "avg"}).toDF("doc_id", "m").where("m <> 0.5").collect()
+    found = {r.id for r in abuse.abuse_scores(docs, "doc_id", "text").where("score >= 0.5").collect()}
+    toxic, other = {r.doc_id for r in rated if r.m > 0.5}, {r.doc_id for r in rated if r.m < 0.5}
+    assert len(found & toxic) >= 0.5 * len(toxic) and len(found & other) <= 0.02 * len(other)
