@@ -301,28 +301,35 @@ def sequences(restored: str, line: str) -> set[str]:
     return out
 
 
-def _counted_lines(text: str) -> Iterator[str]:
-    """Lines, without quoted words where a line forbids or reports them."""
-    for line in text.split("\n"):
-        yield _QUOTED.sub(" ", line) if _REPORTS.search(line) and _QUOTED.search(line) else line
+def _without_quotes(line: str) -> str:
+    """The line, without its quoted words if it forbids or reports them."""
+    return _QUOTED.sub(" ", line) if _QUOTED.search(line) and _REPORTS.search(line) else line
+
+
+def _judged_line(restorer: Restorer, line: str) -> tuple[set[int], float]:
+    restored, found, best, learned = restorer.line(line), set(), 0.0, restorer.learned
+    kana = not line.isascii() and _KANA.search(line)
+    if restored:
+        found.update(n for n in restored[1] if _ALL[n][1].search(restored[0]))
+    if kana:
+        flat = unicodedata.normalize("NFKC", line)
+        found.update(n for n in range(len(_FEATURES), len(_ALL)) if _ALL[n][1].search(flat))
+    if learned and (restored or kana):
+        seen = sorted((learned[x] for x in sequences(restored[0] if restored else "", line) if x in learned), reverse=True)
+        best = seen[LEAST_SEEN - 1] if len(seen) >= LEAST_SEEN else 0.0
+    return found, best
 
 
 def judged(restorer: Restorer, text: str) -> tuple[list[int], float]:
     """Numbers of the cues that fire in some line of the text, and the worth of the line with the best learned sequences."""
     found: set[int] = set()
-    best, learned = 0.0, restorer.learned
-    for line in _counted_lines(text) if '"' in text or "'" in text or not text.isascii() else text.split("\n"):
-        restored = restorer.line(line)
-        kana = not line.isascii() and _KANA.search(line)
-        if restored:
-            found.update(n for n in restored[1] - found if _ALL[n][1].search(restored[0]))
-        if kana:
-            flat = unicodedata.normalize("NFKC", line)
-            found.update(n for n in range(len(_FEATURES), len(_ALL)) if n not in found and _ALL[n][1].search(flat))
-        if learned and (restored or kana):
-            seen = sorted((learned[x] for x in sequences(restored[0] if restored else "", line) if x in learned), reverse=True)
-            if len(seen) >= LEAST_SEEN:
-                best = max(best, seen[LEAST_SEEN - 1])
+    best = 0.0
+    for line in text.split("\n"):
+        got, worth = _judged_line(restorer, line)
+        if (got or worth) and (bare := _without_quotes(line)) != line:
+            got, worth = _judged_line(restorer, bare)
+        found |= got
+        best = max(best, worth)
     return sorted(found), best
 
 
@@ -365,8 +372,8 @@ def _add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _restorer(shared, model=None) -> Restorer:
-    learned = model.value if model else {}
-    return Restorer(np.frombuffer(zlib.decompress(shared.value)), learned=learned, keys=frozenset(w for x in learned for w in x.split()))
+    learned, keys = model.value if model else ({}, frozenset())
+    return Restorer(np.frombuffer(zlib.decompress(shared.value)), learned=learned, keys=keys)
 
 
 def _hits(shared, model):
@@ -386,8 +393,10 @@ def _sequences(shared):
             rows = []
             for i, text, toxic in zip(pdf["id"], pdf["text"], pdf["toxic"]):
                 seen: set[str] = set()
-                for line in set(_counted_lines(text)):
-                    seen |= sequences(restorer.plain(line), line)
+                for line in {_without_quotes(x) for x in text.split("\n")}:
+                    restored = restorer.plain(line)
+                    seen |= sequences(restored, line)
+                    seen.update(restored.split())
                 rows += [(i, x, toxic) for x in seen]
             yield pd.DataFrame(rows, columns=["id", "sequence", "toxic"])
 
@@ -403,8 +412,8 @@ def _character_model(docs: DataFrame):
     return docs.sparkSession.sparkContext.broadcast(counted[0].counts if counted else zlib.compress(np.zeros(_CELLS).tobytes()))
 
 
-def learn(docs: DataFrame, rated: DataFrame, shared) -> dict[str, float]:
-    """Learned sequences with their worth, from documents (id, text) and ratings (id, toxic).
+def learn(docs: DataFrame, rated: DataFrame, shared) -> tuple[dict[str, float], frozenset[str]]:
+    """Learned sequences with their worth, and the rarest word of each, from documents (id, text) and ratings (id, toxic).
 
     A document counts as toxic if most of its ratings say so; ties don't count. Sequences are counted over all rated documents; at most MOST_LEARNED are kept.
     """
@@ -414,7 +423,9 @@ def learn(docs: DataFrame, rated: DataFrame, shared) -> dict[str, float]:
     rows = texts.mapInPandas(_sequences(shared), "id long, sequence string, toxic int").withColumn("half", F.pmod(F.xxhash64("id"), F.lit(2)))
     at = lambda k, c: F.sum(F.when(F.col("half") == k, c).otherwise(0))
     per = rows.groupBy("sequence").agg(F.count("*").alias("n"), F.sum("toxic").alias("t"), *[at(k, F.lit(1)).alias(f"n{k}") for k in (0, 1)], *[at(k, F.col("toxic")).alias(f"t{k}") for k in (0, 1)])
-    per = materialize(per.where(F.col("n") >= LEAST_RATED).where("2 * t > n"), "sequences")
+    word = ~F.col("sequence").contains(" ")
+    counted = materialize(per.where((F.col("n") >= LEAST_RATED) & (word | F.expr("2 * t > n"))), "sequences")
+    per = counted.where(F.col("sequence").contains(" ") | F.col("sequence").rlike("^[\u3040-\u30ff\u4e00-\u9fff]{4}$")).where("2 * t > n")
     # The lower end of the toxic share, of a sequence seen n times with t toxic ones.
     low = lambda t, n: (t + 1) / (n + 2) - F.sqrt((t + 1) * (n - t + 1) / (n + 3)) / (n + 2)
     bar = BARS[-1]
@@ -425,14 +436,17 @@ def learn(docs: DataFrame, rated: DataFrame, shared) -> dict[str, float]:
             bar = b
             break
     kept = per.withColumn("low", low(F.col("t"), F.col("n"))).where(F.col("low") >= bar).orderBy(F.desc("n"), "sequence").limit(MOST_LEARNED)
-    return {r.sequence: float(r.t / r.n) for r in kept.select("sequence", "t", "n").collect()}
+    learned = {r.sequence: float(r.t / r.n) for r in kept.select("sequence", "t", "n").collect()}
+    used = docs.sparkSession.createDataFrame([(w,) for w in sorted({w for x in learned if " " in x for w in x.split()})], "sequence string")
+    rows_of = {r.sequence: r.n for r in counted.where(word).join(F.broadcast(used), "sequence", "left_semi").select("sequence", "n").collect()}  # at most three words a learned sequence
+    return learned, frozenset(min(x.split(), key=lambda w: (rows_of.get(w, 0), w)) for x in learned if " " in x)
 
 
 def cue_hits(df: DataFrame, id_col: str, text_col: str, rated: DataFrame | None = None) -> DataFrame:
     """(id, hits, learned) of the documents in which some cue fires or LEAST_SEEN learned sequences stand in a line. Null ids and null texts are left out."""
     docs = _documents(df, id_col, text_col)
     shared = _character_model(docs)
-    learned = learn(docs, rated, shared) if rated is not None else {}
+    learned = learn(docs, rated, shared) if rated is not None else ({}, frozenset())
     model = df.sparkSession.sparkContext.broadcast(learned)  # at most MOST_LEARNED sequences
     return docs.mapInPandas(_hits(shared, model), "id long, hits array<int>, learned double").where("size(hits) > 0 OR learned > 0")
 
