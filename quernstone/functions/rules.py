@@ -138,3 +138,57 @@ def encounter_level(cls: Column, literal: bool = True) -> Column:
     """Level of an encounter from an array of levels: their sum / 3, rounded down; in the literal reading at least the highest + 2."""
     third = F.floor(F.aggregate(cls, F.lit(0).cast("bigint"), lambda s, x: s + x) / 3)
     return F.greatest(third, F.array_max(cls) + 2) if literal else third
+
+
+def will(level: Column, wisdom: Column, bonus: Column) -> Column:
+    """Will value. A null class bonus counts as none."""
+    return 10 + level + wisdom + F.coalesce(bonus, F.lit(0))
+
+
+def vehicle_reflex(armor: Column, pilot_level: Column, dex: Column, size: Column) -> Column:
+    """A vehicle's Reflex value: its armor, or its pilot's level where it has none."""
+    return 10 + F.coalesce(armor, pilot_level) + dex + size
+
+
+def vehicle_fortitude(strength: Column) -> Column:
+    """A vehicle's Fortitude value."""
+    return 10 + strength
+
+
+def vehicle_initiative(initiative: Column, pilot: Column, trained: Column, size: Column, dex: Column) -> Column:
+    """The pilot's initiative modifier (a trained one's pilot modifier), the vehicle's size and its dexterity modifier."""
+    return F.when(trained, pilot).otherwise(initiative) + size + dex
+
+
+def attack_bonus(kind: Column, base: Column, strength: Column, dex: Column, intelligence: Column, range_penalty: Column, pilot: Column) -> Column:
+    """Bonus of a melee, ranged or vehicle attack; other kinds give null. Trained pilots have 2 more on a vehicle; a null penalty counts as none."""
+    far = F.coalesce(range_penalty, F.lit(0))
+    return F.when(kind == "melee", base + strength).when(kind == "ranged", base + dex + far).when(kind == "vehicle", base + intelligence + far + F.when(pilot, 2).otherwise(0))
+
+
+def damage_by_kind(kind: Column, dice: Column, level: Column, strength: Column, two_handed: Column, extra: Column, factor: Column) -> Column:
+    """Damage of a hit, at least 1: strength counts in melee (twice with two hands, if it is a bonus), extra and factor on vehicles; other kinds give null."""
+    arm = F.when(two_handed & (strength > 0), strength * 2).otherwise(strength)
+    base = dice + half(level)
+    return F.greatest(F.lit(1), F.when(kind == "melee", base + arm).when(kind == "ranged", base).when(kind == "vehicle", (base + extra) * factor)) + F.when(kind.isin("melee", "ranged", "vehicle"), 0)
+
+
+def circumstance(favourable: Column, unfavourable: Column) -> Column:
+    """2 for each favourable circumstance, -2 for each unfavourable one."""
+    return 2 * favourable - 2 * unfavourable
+
+
+def take_twenty_time(minutes: Column) -> Column:
+    """Taking 20 takes twenty times as long."""
+    return minutes * 20
+
+
+def party_adjusted(level: Column, heroes: Column) -> Column:
+    """An encounter's level for a party: one less for each hero above four, one more for each missing."""
+    return level - (heroes - 4)
+
+
+def too_low(scores: Column) -> Column:
+    """Whether a set of scores may be rolled again: modifiers of 0 or less in total, or none above 13. Null for an empty set."""
+    total = F.aggregate(scores, F.lit(0).cast("bigint"), lambda s, x: s + modifier(x))
+    return F.when(F.size(scores) > 0, (total <= 0) | (F.array_max(scores) <= 13))

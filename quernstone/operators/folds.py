@@ -2,7 +2,7 @@
 
 A clamped running sum isn't a window sum, as what a bound cuts off depends on the order. But clamped steps compose: x -> min(hi, max(lo, x + d))
 has the form x -> min(b, max(a, x + s)), and so has any chain of them. `clamped_fold` uses that: the events of a group
-are folded in chunks, and the chunks' three numbers are folded again, so a group of any size is spread over tasks.
+are folded in chunks by rank, and the chunks' three numbers are folded again by partition and then by group, so a group of any size is spread over tasks.
 """
 
 from collections.abc import Iterator
@@ -17,38 +17,40 @@ from pyspark.sql import types as T
 CHUNK = 10_000
 
 
-def _cut(x: Column, lo: Column, hi: Column) -> Column:
-    return F.least(hi, F.greatest(lo, x))
+def _then(f: Column, d: Column, lo: Column, hi: Column) -> Column:
+    """The map x -> min(b, max(a, x + s)), f, followed by one more of the same form; null bounds don't bind. (least and greatest pass over nulls.)"""
+    low = F.when(f["a"].isNotNull(), F.least(hi, F.greatest(lo, f["a"] + d))).otherwise(F.when(lo.isNotNull(), F.least(hi, lo)))
+    high = F.when(f["b"].isNotNull(), F.least(hi, F.greatest(lo, f["b"] + d))).otherwise(hi)
+    return F.struct((f["s"] + d).alias("s"), low.alias("a"), high.alias("b"))
 
 
 def clamped_fold(df: DataFrame, by: list[str], order: list[str], delta: str, lo, hi, start: int, name: str, chunk: int = CHUNK) -> DataFrame:
     """(by, name): each group's state after all its steps in order, kept within [lo, hi] after each. Null steps count as 0.
 
     lo and hi are numbers, or Columns for bounds that differ by row: "keep the better of" is a step of 0 with lo = value and no upper bound,
-    "replace" one with lo = hi = value. Null bounds don't bind. `order` must be total within a group for a fixed result; its first column must be a
-    number or a time. An empty table gives an empty result.
+    "replace" one with lo = hi = value. Null bounds don't bind. `order` must be total within a group for a fixed result. Rows are range-partitioned by
+    group and order, and each partition's part of a group is folded in chunks of `chunk` rows, whatever their times: no task holds more than
+    a partition and no array more than a chunk. An empty table gives an empty result.
     """
-    first, far = order[0], 2**40
-    bound = lambda c, free: F.coalesce((c if isinstance(c, Column) else F.lit(c)).cast("long"), F.lit(free).cast("long"))
-    df = df.withColumn("_from", bound(lo, -far)).withColumn("_to", bound(hi, far))
-    spans = df.groupBy(*by).agg(F.count("*").alias("_n"), F.min(first).alias("_lo"), F.max(first).alias("_hi"))
-    timed = dict(df.dtypes)[first].startswith("timestamp")
-    at = lambda c: F.coalesce(F.unix_micros(F.col(c).cast("timestamp")).cast("double") if timed else F.col(c).cast("double"), F.lit(0.0))
-    place = F.when(at("_hi") > at("_lo"), (at(first) - at("_lo")) / (at("_hi") - at("_lo"))).otherwise(0.0)
-    j = df.alias("d").join(spans.select(*[F.col(c).alias(f"_k_{c}") for c in by], "_n", "_lo", "_hi"), [F.col(f"d.{c}").eqNullSafe(F.col(f"_k_{c}")) for c in by])
-    j = j.select("d.*", F.floor(place * F.ceil(F.col("_n") / chunk)).cast("long").alias("_c"))
-    step = F.struct(*order, F.coalesce(F.col(delta), F.lit(0)).cast("long").alias("_d"), "_from", "_to")
-    parts = j.groupBy(*by, "_c").agg(F.sort_array(F.collect_list(step)).alias("_e"))
-    zero = F.struct(F.lit(0).cast("long").alias("s"), F.lit(-far).cast("long").alias("a"), F.lit(far).cast("long").alias("b"))
-
-    def then(f: Column, e: Column) -> Column:
-        # The chain x -> min(b, max(a, x + s)), followed by one more step of the same form.
-        return F.struct((f["s"] + e["_d"]).alias("s"), _cut(f["a"] + e["_d"], e["_from"], e["_to"]).alias("a"), _cut(f["b"] + e["_d"], e["_from"], e["_to"]).alias("b"))
-
-    maps = parts.select(*by, "_c", F.aggregate("_e", zero, then).alias("_f"))
-    chain = maps.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_c", "_f"))).alias("_fs"))
-    end = F.aggregate("_fs", F.lit(start).cast("long"), lambda x, f: _cut(x + f["_f"]["s"], f["_f"]["a"], f["_f"]["b"]))
-    return chain.select(*by, end.alias(name))
+    bound = lambda c: (c if isinstance(c, Column) else F.lit(c)).cast("long")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(c) for c in by] + [F.col(c) for c in order]
+    steps = df.select(*by, *order, F.coalesce(F.col(delta), F.lit(0)).cast("long").alias("_d"), bound(lo).alias("_from"), bound(hi).alias("_to"))
+    parted = steps.repartitionByRange(n, *keys).withColumn("_p", F.spark_partition_id())
+    part = [*by, "_p"]
+    placed = parted.withColumn("_c", F.floor((F.row_number().over(W.partitionBy(*part).orderBy(*order)) - 1) / chunk))
+    none = F.lit(None).cast("long")
+    zero = F.struct(F.lit(0).cast("long").alias("s"), none.alias("a"), none.alias("b"))
+    step = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], "_d", "_from", "_to")
+    chunks = placed.groupBy(*part, "_c").agg(F.sort_array(F.collect_list(step)).alias("_e"))
+    chunks = chunks.select(*part, "_c", F.aggregate("_e", zero, lambda f, e: _then(f, e["_d"], e["_from"], e["_to"])).alias("_f"))
+
+    def chained(maps: DataFrame, keys_: list[str], at: str) -> DataFrame:
+        lists = maps.groupBy(*keys_).agg(F.sort_array(F.collect_list(F.struct(at, "_f"))).alias("_fs"))
+        return lists.select(*keys_, F.aggregate("_fs", zero, lambda f, g: _then(f, g["_f"]["s"], g["_f"]["a"], g["_f"]["b"])).alias("_f"))
+
+    whole = chained(chained(chunks, part, "_c"), by, "_p")
+    return whole.select(*by, F.least("_f.b", F.greatest("_f.a", F.lit(start).cast("long") + F.col("_f.s"))).alias(name))
 
 
 def spaced(df: DataFrame, by: list[str], at: str, gap: int, name: str = "accepted") -> DataFrame:

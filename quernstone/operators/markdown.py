@@ -5,7 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A link with its balanced parentheses: anchor, target, title.
-LINK = r'\[([^\[\]\n]*+)\]\(([^()\s]*+(?:\([^()\s]*+\)[^()\s]*+){0,6})(?:\s+"([^"\n]*+)")?\s*\)'
+LINK = r'\[([^\[\]\n]*+)\]\(([^()\s]*+(?:\([^()\s]*+\)[^()\s]*+)*+)(?:\s+"([^"\n]*+)")?\s*\)'
 
 
 def links(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -19,7 +19,7 @@ def links(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def fields(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, label, value, pos) of lines such as "**Label:** value" or "*Label:* value"."""
     rows = df.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
-    pattern = r"^\s*(?:[-*]\s+)?\*{1,2}([^*:\n]{1,60}):\*{0,2}\s*(.*?)\*{0,2}\s*$"
+    pattern = r"^\s*(?:[-*]\s+)?\*{1,2}([^*:\n]+):\*{0,2}\s*(.*?)\*{0,2}\s*$"
     return rows.where(F.col("line").rlike(pattern)).select("id", F.regexp_extract("line", pattern, 1).alias("label"), F.regexp_extract("line", pattern, 2).alias("value"), "pos")
 
 
@@ -61,3 +61,14 @@ def unfold(df: DataFrame, cells: str, width: int, names: list[str]) -> DataFrame
     groups = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), (F.size(kept) / width).cast("int") - 1)), lambda i: F.slice(kept, i * width + 1, width))
     rows = df.withColumn("_g", F.explode(groups)).where(F.size("_g") == width)
     return rows.select(*[c for c in df.columns if c != cells], *[F.get("_g", i).alias(n) for i, n in enumerate(names)])
+
+
+def merged_header(rows: DataFrame) -> DataFrame:
+    """(id, name, col_name, value) of tables whose real column names stand in the first row under the header, without one for the first column.
+
+    `rows` are lines of `table_rows` without rules. Rows beyond the names are left out, as are cells beyond a row's end.
+    """
+    w = W.partitionBy("id").orderBy("pos")
+    numbered = rows.withColumn("_n", F.row_number().over(w)).withColumn("_names", F.nth_value("cells", 2).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).where("_n > 2")
+    cells = numbered.select("id", F.col("cells")[0].alias("name"), F.explode(F.arrays_zip(F.col("_names").alias("h"), F.slice("cells", 2, 10_000).alias("v"))).alias("x"))
+    return cells.where("x.h IS NOT NULL AND x.v IS NOT NULL").select("id", "name", F.col("x.h").alias("col_name"), F.col("x.v").alias("value"))

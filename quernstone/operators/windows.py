@@ -28,3 +28,50 @@ def global_place(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     starts = sizes.withColumn("_s", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     ranked = parted.withColumn("_r", F.row_number().over(W.partitionBy("_p").orderBy(*order)))
     return ranked.join(F.broadcast(starts), "_p").withColumn(name, F.col("_s") + F.col("_r")).drop("_p", "_s", "_r")
+
+
+def before_max(df: DataFrame, by: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """The greatest `value` among a group's earlier rows in a total order, null if there is none.
+
+    As `global_place`: rows are range-partitioned by group and order, maxima of earlier partitions are carried on, so a group of any size is spread over tasks.
+    """
+    from quernstone.sources.scratch import materialize
+
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parted = materialize(df.repartitionByRange(n, *by, *order).withColumn("_p", F.spark_partition_id()), "ranges")
+    tops = parted.groupBy(*by, "_p").agg(F.max(value).alias("_m"))  # at most a row a group and partition
+    before = W.partitionBy(*by).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    carried = tops.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_p").alias("_q"), F.max("_m").over(before).alias("_carried"))
+    own = F.max(value).over(W.partitionBy(*by, "_p").orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
+    on = F.col("_p") == F.col("_q")
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    return parted.withColumn("_own", own).join(carried, on, "left").select(*df.columns, F.greatest("_own", "_carried").alias(name))
+
+
+def quantiles(df: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """(by, one column a share): exact interpolated quantiles of `value` in each group; nulls don't count.
+
+    Values are counted, the counts range-partitioned by group and value, and the two ranks that a quantile lies between are looked up from the partitions' sizes,
+    so the values of a group are never in one task. Groups without a value are left out; null keys are a group.
+    """
+    from quernstone.sources.scratch import materialize
+
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(by).alias("_g"), F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    parted = materialize(counts.repartitionByRange(n, "_g", "_v").withColumn("_p", F.spark_partition_id()), "ranges")
+    sizes = parted.groupBy("_g", "_p").agg(F.sum("_n").alias("_s"))
+    starts = sizes.select(
+        F.col("_g").alias("_h"), F.col("_p").alias("_q"), F.coalesce(F.sum("_s").over(W.partitionBy("_g").orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"), F.sum("_s").over(W.partitionBy("_g")).alias("_all")
+    )
+    upto = F.sum("_n").over(W.partitionBy("_g", "_p").orderBy("_v").rowsBetween(W.unboundedPreceding, 0))
+    ranked = parted.withColumn("_upto", upto).join(starts, F.col("_g").eqNullSafe(F.col("_h")) & (F.col("_p") == F.col("_q")))
+    first, last = F.col("_start") + F.col("_upto") - F.col("_n"), F.col("_start") + F.col("_upto") - 1
+    at = {k: (F.col("_all") - 1) * q for k, q in shares.items()}
+    holds = lambda r: (first <= r) & (r <= last)
+    parts = []
+    for k, r in at.items():
+        lo, hi = F.floor(r), F.ceil(r)
+        parts += [F.max(F.when(holds(lo), F.col("_v"))).alias(f"_lo_{k}"), F.max(F.when(holds(hi), F.col("_v"))).alias(f"_hi_{k}"), F.max(r - lo).alias(f"_f_{k}")]
+    near = ranked.groupBy("_g").agg(*parts)
+    return near.select(F.col("_g").alias(by), *[(F.col(f"_lo_{k}") + (F.col(f"_hi_{k}") - F.col(f"_lo_{k}")) * F.col(f"_f_{k}")).alias(k) for k in at])

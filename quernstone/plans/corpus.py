@@ -1,12 +1,13 @@
 """Queries over the page corpus: aliases, categories, links, embedded tables, typed cells, lookups."""
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quernstone.functions import values as V
 from quernstone.operators import graphs, markdown
 from quernstone.operators.bands import band_join
+from quernstone.operators.skew import salted_join
+from quernstone.operators.windows import before_max
 from quernstone.plans.registry import Registry
 from quernstone.sources.tables import table as T
 
@@ -22,8 +23,10 @@ def aliases(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a01_resolve_alias", f"SELECT l.src, coalesce(a.canonical_url, l.dst) AS target, count(*) AS links FROM link l LEFT JOIN {_ALIAS} a ON l.dst = a.source_url GROUP BY ALL")
 def a01(spark: SparkSession, d: str) -> DataFrame:
-    a = aliases(spark, d).withColumnRenamed("source_url", "dst")
-    return T(spark, d, "link").join(a, "dst", "left").groupBy("src", F.coalesce("canonical_url", "dst").alias("target")).agg(F.count("*").alias("links"))
+    """Links are counted by source and target before the join; what is left of a hot target is dealt to several tasks."""
+    pairs = T(spark, d, "link").groupBy("src", "dst").agg(F.count("*").alias("n"))
+    named = salted_join(pairs, aliases(spark, d), "dst", "source_url", 8, "left")
+    return named.groupBy("src", F.coalesce("canonical_url", "dst").alias("target")).agg(F.sum("n").alias("links"))
 
 
 @query("a02_category_members", "SELECT DISTINCT canonical_url FROM page WHERE list_contains(categories, 'Feats')")
@@ -55,8 +58,8 @@ def a04(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a04_followed_links", "SELECT l.src, l.dst, min(p.page_id) AS page_id FROM (SELECT DISTINCT src, dst FROM link) l LEFT JOIN page p ON p.canonical_url = l.dst GROUP BY ALL")
 def a04b(spark: SparkSession, d: str) -> DataFrame:
-    p = T(spark, d, "page").groupBy(F.col("canonical_url").alias("dst")).agg(F.min("page_id").alias("page_id"))
-    return T(spark, d, "link").select("src", "dst").distinct().join(p, "dst", "left").select("src", "dst", "page_id")
+    p = T(spark, d, "page").groupBy(F.col("canonical_url").alias("url")).agg(F.min("page_id").alias("page_id"))
+    return salted_join(T(spark, d, "link").select("src", "dst").distinct(), p, "dst", "url", 8, "left").select("src", "dst", "page_id")
 
 
 @query("a05_backlinks", "SELECT dst, count(*) AS links, count(DISTINCT src) AS pages, count(*) FILTER (WHERE is_red) AS red FROM link GROUP BY dst")
@@ -99,7 +102,18 @@ def a08(spark: SparkSession, d: str) -> DataFrame:
     return T(spark, d, "weapon").select(F.explode(V.items(F.col("availability"))).alias("kind")).groupBy("kind").agg(F.count("*").alias("weapons"))
 
 
-@query("a09_index_tables")
+_LINES = "(SELECT page_id AS id, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) - 1 AS pos FROM page WHERE body IS NOT NULL)"
+
+
+@query(
+    "a09_index_tables",
+    rf"""WITH r AS (SELECT id, pos, list_transform(string_split(regexp_replace(line, '^\s*\||\|\s*$', '', 'g'), '|'), lambda x: trim(x)) AS cells, regexp_matches(line, '^[\s|:-]*-[\s|:-]*$') AS rule FROM {_LINES} WHERE regexp_matches(line, '^\s*\|.*\|\s*$')),
+    h AS (SELECT *, coalesce(lead(rule) OVER w AND lead(pos) OVER w = pos + 1, false) AND NOT rule AS head FROM r WINDOW w AS (PARTITION BY id ORDER BY pos)),
+    m AS (SELECT *, CAST(sum(head::INTEGER) OVER (PARTITION BY id ORDER BY pos) AS BIGINT) AS table_no FROM h),
+    b AS (SELECT id, table_no, cells, first_value(cells) OVER t AS names, CAST(row_number() OVER t - 1 AS INTEGER) AS row_no FROM m WHERE table_no > 0 AND NOT rule WINDOW t AS (PARTITION BY id, table_no ORDER BY pos)),
+    c AS (SELECT id, table_no, row_no, unnest(names[1:len(cells)]) AS col_name, unnest(cells[1:len(names)]) AS value FROM b WHERE row_no > 0)
+    SELECT * FROM c WHERE col_name IS NOT NULL AND col_name <> '' AND value IS NOT NULL""",
+)
 def a09(spark: SparkSession, d: str) -> DataFrame:
     """Cells of all embedded tables in long form."""
     return markdown.table_cells(T(spark, d, "page"), "page_id", "body")
@@ -128,18 +142,34 @@ def d02(spark: SparkSession, d: str) -> DataFrame:
     return T(spark, d, "page").groupBy("canonical_url").agg(best.alias("b")).select("canonical_url", "b.page_id")
 
 
+@query("d03_page_categories", "SELECT DISTINCT canonical_url, unnest(categories) AS category FROM page WHERE canonical_url IS NOT NULL")
+def d03(spark: SparkSession, d: str) -> DataFrame:
+    """Membership as a table of its own, one row a page and category, whatever the number of fetches."""
+    return T(spark, d, "page").where("canonical_url IS NOT NULL").select("canonical_url", F.explode("categories").alias("category")).distinct()
+
+
 @query("d04_sections", r"SELECT page_id, count(*) AS headings, max(length(regexp_extract(line, '^(#{1,6})', 1)))::BIGINT AS deepest FROM (SELECT page_id, unnest(string_split(body, chr(10))) AS line FROM page) WHERE regexp_matches(line, '^#{1,6}\s+\S') GROUP BY page_id")
 def d04(spark: SparkSession, d: str) -> DataFrame:
     s = markdown.sections(T(spark, d, "page"), "page_id", "body")
     return s.groupBy(F.col("id").alias("page_id")).agg(F.count("*").alias("headings"), F.max("level").cast("bigint").alias("deepest"))
 
 
-@query("d05_labelled_fields")
+_FIELD = r"^\s*(?:[-*]\s+)?\*{1,2}([^*:\n]+):\*{0,2}\s*(.*?)\*{0,2}\s*$"
+
+
+@query("d05_labelled_fields", rf"SELECT id, regexp_extract(line, '{_FIELD}', 1) AS label, regexp_extract(line, '{_FIELD}', 2) AS value, CAST(pos AS INTEGER) AS pos FROM {_LINES} WHERE regexp_matches(line, '{_FIELD}')")
 def d05(spark: SparkSession, d: str) -> DataFrame:
     return markdown.fields(T(spark, d, "page"), "page_id", "body")
 
 
-@query("d09_links_of_pages")
+_LINK = r'\[([^\[\]\n]*)\]\(([^()\s]*(?:\([^()\s]*\)[^()\s]*)*)(?:\s+"([^"\n]*)")?\s*\)'
+
+
+@query(
+    "d09_links_of_pages",
+    rf"""SELECT id, regexp_extract(x, '{_LINK}', 1) AS anchor, regexp_replace(regexp_extract(x, '{_LINK}', 2), '\?action=edit&redlink=1$', '') AS target, suffix(regexp_extract(x, '{_LINK}', 2), 'redlink=1') AS missing
+    FROM (SELECT page_id AS id, unnest(regexp_extract_all(body, '{_LINK}', 0)) AS x FROM page WHERE body IS NOT NULL)""",
+)
 def d09(spark: SparkSession, d: str) -> DataFrame:
     return markdown.links(T(spark, d, "page"), "page_id", "body")
 
@@ -203,8 +233,8 @@ def k04(spark: SparkSession, d: str) -> DataFrame:
 
 @query("k05_late_fetches", "SELECT page_id FROM (SELECT page_id, retrieved_at_utc, max(retrieved_at_utc) OVER (PARTITION BY source_host ORDER BY loaded_at, page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM page) WHERE retrieved_at_utc < seen - INTERVAL 1 HOUR")
 def k05(spark: SparkSession, d: str) -> DataFrame:
-    w = W.partitionBy("source_host").orderBy("loaded_at", "page_id").rowsBetween(W.unboundedPreceding, -1)
-    p = T(spark, d, "page").withColumn("seen", F.max("retrieved_at_utc").over(w))
+    """One wiki's pages are one host: its order is cut into ranges, and the latest time of earlier ranges is carried on."""
+    p = before_max(T(spark, d, "page").select("page_id", "source_host", "loaded_at", "retrieved_at_utc"), ["source_host"], ["loaded_at", "page_id"], "retrieved_at_utc", "seen")
     return p.where(F.col("retrieved_at_utc") < F.col("seen") - F.expr("INTERVAL 1 HOUR")).select("page_id")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quernstone.operators.bands import band_join
 from quernstone.operators.asof import asof_join
 from quernstone.operators.intervals import overlap_join
-from quernstone.operators.windows import groups_frame_sum
+from quernstone.operators.windows import groups_frame_sum, quantiles
 from quernstone.plans.registry import Registry
 from quernstone.sources.tables import table as T
 
@@ -246,8 +246,11 @@ def q24(spark: SparkSession, d: str) -> DataFrame:
     "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 4) AS median, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90, mode(l_quantity) IS NOT NULL AS has_mode FROM lineitem GROUP BY 1",
 )
 def q25(spark: SparkSession, d: str) -> DataFrame:
-    p = lambda q: F.round(F.percentile("l_extendedprice", q), 4)
-    return T(spark, d, "lineitem").groupBy("l_returnflag").agg(p(0.5).alias("median"), p(0.9).alias("p90"), F.mode("l_quantity").isNotNull().alias("has_mode"))
+    """Three groups hold all rows: exact quantiles come from counted, range-partitioned values, and the mode from counts."""
+    li = T(spark, d, "lineitem")
+    q = quantiles(li, "l_returnflag", "l_extendedprice", {"median": 0.5, "p90": 0.9})
+    often = li.groupBy("l_returnflag", "l_quantity").agg(F.count("*").alias("n")).groupBy("l_returnflag").agg(F.max_by("l_quantity", F.when(F.col("l_quantity").isNotNull(), F.col("n"))).isNotNull().alias("has_mode"))
+    return q.join(often, "l_returnflag").select("l_returnflag", F.round("median", 4).alias("median"), F.round("p90", 4).alias("p90"), "has_mode")
 
 
 @query("q26_approximate")
@@ -299,9 +302,16 @@ _W = "OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey)"
     CAST(dense_rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority) AS INTEGER) AS dr, CAST(ntile(4) {_W} AS INTEGER) AS quarter, round(percent_rank() {_W}, 6) AS pr, round(cume_dist() {_W}, 6) AS cd FROM orders""",
 )
 def q31(spark: SparkSession, d: str) -> DataFrame:
+    """Ranks by status, of which there are three, come from the counts of its few priorities; only ranks by customer sort the table."""
     w, s = W.partitionBy("o_custkey").orderBy("o_totalprice", "o_orderkey"), W.partitionBy("o_orderstatus").orderBy("o_orderpriority")
-    return T(spark, d, "orders").select(
-        "o_orderkey", F.row_number().over(w).alias("rn"), F.rank().over(s).alias("rk"), F.dense_rank().over(s).alias("dr"), F.ntile(4).over(w).alias("quarter"), F.round(F.percent_rank().over(w), 6).alias("pr"),
+    o = T(spark, d, "orders")
+    kinds = o.groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
+    places = kinds.select(
+        F.col("o_orderstatus").alias("st"), F.col("o_orderpriority").alias("pri"), (F.coalesce(F.sum("n").over(s.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + 1).cast("int").alias("rk"), F.row_number().over(s).alias("dr")
+    )
+    o = o.join(places, F.col("o_orderstatus").eqNullSafe(F.col("st")) & F.col("o_orderpriority").eqNullSafe(F.col("pri")))
+    return o.select(
+        "o_orderkey", F.row_number().over(w).alias("rn"), "rk", "dr", F.ntile(4).over(w).alias("quarter"), F.round(F.percent_rank().over(w), 6).alias("pr"),
         F.round(F.cume_dist().over(w), 6).alias("cd"),
     )
 
@@ -574,4 +584,35 @@ def q62(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql("SELECT s_suppkey, half_above(s_suppkey) AS modifier FROM {s}", s=T(spark, d, "supplier"))
 
 
+@query("q63_cross_join", "SELECT r_name, s.event_type, coalesce(n, 0) AS customers FROM region CROSS JOIN (SELECT DISTINCT event_type FROM events) s LEFT JOIN (SELECT n_regionkey, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1) c ON r_regionkey = n_regionkey")
+def q63(spark: SparkSession, d: str) -> DataFrame:
+    """All combinations of two small domains, five regions and the kinds of events, filled with counts made before."""
+    kinds = T(spark, d, "events").select("event_type").distinct()
+    n = T(spark, d, "customer").join(T(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey").agg(F.count("*").alias("n"))
+    grid = T(spark, d, "region").crossJoin(kinds)
+    return grid.join(n, F.col("r_regionkey") == F.col("n_regionkey"), "left").select("r_name", "event_type", F.coalesce("n", F.lit(0)).alias("customers"))
+
+
+@query("q64_sort_all_nulls", "SELECT doc_id, lang, row_number() OVER (ORDER BY lang NULLS FIRST, doc_id) AS place FROM documents")
+def q64(spark: SparkSession, d: str) -> DataFrame:
+    """The global order of the whole table."""
+    from quernstone.operators.windows import global_place
+
+    return global_place(T(spark, d, "documents").select("doc_id", "lang"), [F.asc_nulls_first("lang"), F.asc("doc_id")], "place")
+
+
+@query(
+    "q65_nearest_vectors",
+    """WITH u AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x) AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings)
+    SELECT query, vec_id, cosine FROM (SELECT q.vec_id AS query, e.vec_id, round(list_dot_product(e.v, q.v) / (e.n * q.n), 5) AS cosine FROM u e JOIN u q ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id)
+    QUALIFY row_number() OVER (PARTITION BY query ORDER BY cosine DESC, vec_id) <= 10""",
+)
+def q65(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest of all vectors to every vector whose id is divisible by 100: exact scores in blocks, the best of each block and then of all."""
+    from quernstone.functions.vectors import nearest
+
+    e = T(spark, d, "embeddings")
+    return nearest(e, e.where("vec_id % 100 = 0"), "vec_id", "embedding", 10)
+
+
 QUERIES, ORACLES = R.queries, R.oracles

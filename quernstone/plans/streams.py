@@ -76,4 +76,24 @@ def t07(spark: SparkSession, d: str) -> DataFrame:
     return r.groupBy("user_id").agg(F.max(F.struct("batch", "n", "step")).alias("x")).select("user_id", "x.step", "x.n")
 
 
+# Every seventh event comes late, in a third batch. A batch drops what is behind the watermark that the batch before it began with, so that is the first batch's.
+@query(
+    "t08_late_data",
+    """WITH m AS (SELECT max(ts) AS top FROM events WHERE event_id % 7 > 1), k AS (SELECT event_id % 7 > 0 OR date_trunc('hour', ts) + INTERVAL 1 HOUR > top - INTERVAL 10 MINUTE AS kept FROM events, m)
+    SELECT count(*) AS events, count(*) FILTER (WHERE kept) AS kept, count(*) FILTER (WHERE NOT kept) AS late FROM k""",
+)
+def t08(spark: SparkSession, d: str) -> DataFrame:
+    """A stream drops late events in silence, so those in its windows are compared with those that came."""
+    events = T(spark, d, "events")
+    stream = jobs.hourly_counts(jobs.in_steps(*[events.where(f"event_id % 7 {x}") for x in ("> 1", "= 1", "= 0")]))
+    kept = jobs.run_to_table(stream, "update").groupBy("start").agg(F.max("n").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("kept"))
+    return events.agg(F.count("*").alias("events")).crossJoin(kept).select("events", "kept", (F.col("events") - F.col("kept")).alias("late"))
+
+
+@query("t09_memory_sink", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def t09(spark: SparkSession, d: str) -> DataFrame:
+    """A few totals kept in memory, complete after each batch."""
+    return jobs.run_to_memory(_events(spark, d).groupBy("event_type").agg(F.count("*").alias("n")), "totals_by_type")
+
+
 QUERIES, ORACLES = R.queries, R.oracles
