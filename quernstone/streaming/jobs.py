@@ -89,24 +89,25 @@ def followed(first: DataFrame, then: DataFrame, on: str, within: str, delay: str
 
 
 class _Clamped(StatefulProcessor):
-    """A key's clamped state. A batch's steps are composed to one map x -> min(b, max(a, x + s)) by array operations, without a loop over rows; state ends when a key has had no event for a time."""
+    """A key's clamped state. A batch's steps are composed to one map x -> min(b, max(a, x + s)) by array operations, without a loop over rows; state ends a time after a key's last event."""
 
     def __init__(self, lo: int, hi: int, idle_ms: int):
         self.lo, self.hi, self.idle_ms = lo, hi, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.state = handle, handle.getValueState("state", "step int, n long")
+        self.handle, self.state = handle, handle.getValueState("state", "step int, n long, seen long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        step, n = self.state.get() if self.state.exists() else (0, 0)
+        step, n, seen = self.state.get() if self.state.exists() else (0, 0, 0)
         parts = [(p["ts"].to_numpy(), p["event_id"].to_numpy(), np.where(p["value"].isna(), 0, np.where(p["value"] > 50, 1, -1))) for p in rows if len(p)]
         if parts:  # one user's events of one batch, as three arrays: the source's admission limit bounds them
             ts, ids, d = (np.concatenate(x) for x in zip(*parts))
             step, n = clamp_all(step, d[np.lexsort((ids, ts))], self.lo, self.hi), n + len(d)
-        self.state.update((step, n))
+            seen = max(seen, int(pd.Timestamp(ts.max()).timestamp() * 1000))
+        self.state.update((step, n, seen))
         for at in self.handle.listTimers():
             self.handle.deleteTimer(at)
-        self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.idle_ms)
+        self.handle.registerTimer(seen + self.idle_ms)
         yield pd.DataFrame({"user_id": [key[0]], "step": [step], "n": [n]})
 
     def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
@@ -128,14 +129,16 @@ def clamp_all(x: int, steps: np.ndarray, lo: int, hi: int) -> int:
     return int(min(b[0], max(a[0], x + s[0]))) if len(s) else x
 
 
-def running_state(events: DataFrame, lo: int = 0, hi: int = 5, idle: str = "90 days") -> DataFrame:
+def running_state(events: DataFrame, lo: int = 0, hi: int = 5, delay: str = "30 days", idle: str = "90 days") -> DataFrame:
     """Each user's clamped state after each batch, an up or down a step by the event's value: (user_id, step, n), in update mode.
 
-    Within a batch a user's events are taken in order of time and id; none is dropped as late. A user's state ends when they have had no event for `idle`, by the
-    clock. Null values are no step.
+    Within a batch a user's events are taken in order of time and id; events later than `delay` are dropped. A user's state ends once the watermark has passed
+    their last event by `idle`. Null values are no step.
     """
     keep = int(pd.Timedelta(idle).total_seconds() * 1000)
-    return events.groupBy("user_id").transformWithStateInPandas(_Clamped(lo, hi, keep), "user_id long, step int, n long", "Update", "ProcessingTime")
+    # Before the first watermark, what is not after the epoch counts as late: such times are lifted above it in the watermark's column.
+    timed = events.withColumn("_at", F.greatest("ts", F.timestamp_millis(F.lit(1)))).withWatermark("_at", delay)
+    return timed.groupBy("user_id").transformWithStateInPandas(_Clamped(lo, hi, keep), "user_id long, step int, n long", "Update", "EventTime")
 
 
 def in_steps(*frames: DataFrame) -> DataFrame:
