@@ -123,12 +123,13 @@ class Transducer:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.size = [len(b) for b in vocabulary.bytes_of]
-        self.chains: list[tuple[int, ...]] = [(0,)]
-        self.chain_numbers: dict[tuple[int, ...], int] = {(0,): 0}
-        self.moves: dict[int, tuple] = {}
         self._reset()
 
     def _reset(self) -> None:
+        """Empties all tables: chains and moves grow with the states."""
+        self.chains: list[tuple[int, ...]] = [(0,)]
+        self.chain_numbers: dict[tuple[int, ...], int] = {(0,): 0}
+        self.moves: dict[int, tuple] = {}
         start = (0, (-1,))
         self.numbers: dict[tuple, int] = {start: 0}
         self.states: list[tuple] = [start]
@@ -196,7 +197,7 @@ class Transducer:
 
     def encode(self, data: bytes) -> list[int]:
         """Token ids of one pre-token."""
-        if len(self.states) > self.MOST_STATES:
+        if len(self.states) > self.MOST_STATES or len(self.moves) > self.MOST_STATES:
             self._reset()
         out, ends, at, get, last, window = [], [], 0, self.step.get, self.last, self.WINDOW
         for byte in data:

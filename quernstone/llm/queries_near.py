@@ -35,11 +35,16 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p1_groups": p1_groups}
-ORACLES = {
-    "p1_found": r"""
-WITH w AS (SELECT page_id, regexp_extract_all(lower(body), '[\p{L}\p{N}]+') AS ws FROM page WHERE body IS NOT NULL),
+_SETS = r"""w AS (SELECT page_id, regexp_extract_all(lower(body), '[\p{L}\p{N}]+') AS ws FROM page WHERE body IS NOT NULL),
 s AS (SELECT DISTINCT page_id, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS g FROM w WHERE len(ws) >= 3),
-n AS (SELECT page_id, count(*) AS n FROM s GROUP BY page_id),
-o AS (SELECT a.page_id AS page_id_a, b.page_id AS page_id_b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.page_id < b.page_id GROUP BY ALL)
-SELECT page_id_a, page_id_b FROM o JOIN n x ON x.page_id = page_id_a JOIN n y ON y.page_id = page_id_b WHERE o >= 0.6 * (x.n + y.n - o)""",
+n AS (SELECT page_id, count(*) AS n FROM s GROUP BY page_id)"""
+_PAIRS = """o AS (SELECT a.page_id AS page_id_a, b.page_id AS page_id_b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.page_id < b.page_id GROUP BY ALL),
+p AS (SELECT page_id_a, page_id_b FROM o JOIN n x ON x.page_id = page_id_a JOIN n y ON y.page_id = page_id_b WHERE o >= 0.6 * (x.n + y.n - o))"""
+ORACLES = {
+    "p1_found": f"WITH {_SETS}, {_PAIRS} SELECT page_id_a, page_id_b FROM p",
+    "p1_classes": f"""WITH {_SETS}, {_PAIRS}, k AS (SELECT page_id, md5(string_agg(g, '|' ORDER BY g)) AS sig FROM s GROUP BY page_id), c AS (SELECT sig, min(page_id) AS class_id, count(*) AS copies FROM k GROUP BY sig),
+r AS (SELECT page_id_a, page_id_b FROM p WHERE page_id_a IN (SELECT class_id FROM c) AND page_id_b IN (SELECT class_id FROM c)), l AS (SELECT x, count(*) AS links FROM (SELECT page_id_a AS x FROM r UNION ALL SELECT page_id_b FROM r) GROUP BY x)
+SELECT d.page_id, coalesce(class_id, d.page_id) AS class_id, coalesce(copies, 1) AS copies, coalesce(links, 0) AS links FROM (SELECT DISTINCT page_id FROM page WHERE page_id IS NOT NULL) d LEFT JOIN k USING (page_id) LEFT JOIN c USING (sig) LEFT JOIN l ON x = class_id""",
+    "p1_groups": f"""WITH RECURSIVE {_SETS}, {_PAIRS}, e AS (SELECT page_id_a AS a, page_id_b AS b FROM p UNION ALL SELECT page_id_b, page_id_a FROM p), q AS (SELECT DISTINCT page_id AS a, page_id AS b FROM page WHERE page_id IS NOT NULL UNION SELECT q.a, e.b FROM q JOIN e ON q.b = e.a)
+SELECT a AS page_id, min(b) AS group_id, count(*) AS size FROM q GROUP BY a""",
 }

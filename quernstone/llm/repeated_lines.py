@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quernstone.sources.scratch import materialize
 from quernstone.sources.tables import spread
 
 #: White space as Unicode has it, and the separators U+001C to U+001F.
@@ -43,7 +44,8 @@ def repeated_lines(df: DataFrame, id_col: str, source_col: str, text_col: str, m
     ids count as one document. Null texts give nothing; an empty table gives an empty result.
     """
     df = spread(df.select(id_col, source_col, text_col))
-    hashed = _hashed(lines(df, id_col, source_col, text_col), min_words)
+    # Lines are split, normalised and hashed once, for counting and for looking up.
+    hashed = materialize(_hashed(lines(df, id_col, source_col, text_col), min_words), "lines")
     docs = hashed.groupBy("source", "h1", "h2", "id").agg(F.lit(1).alias("one"))
     counts = docs.groupBy("source", "h1", "h2").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
     if min_share > 0:

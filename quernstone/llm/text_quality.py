@@ -37,8 +37,10 @@ _SOURCE = re.compile(r"(?im)^[ \t]*>[ \t]*source[ \t]*:.*$|^[ \t]*loading commen
 _TITLE = re.compile(r"\A\s*#\s[^\n]*")
 
 LETTER, NUMBER, BLANK, CJK, KANA, DEBRIS, ENDER, CLOSER = (1 << i for i in range(8))
-# Letters and signs that UTF-8 text read in a single-byte code page is full of.
-_DEBRIS_CHARS = "ҐґÃÂ°±µ¶·¤¦§©¬®«»№‚„†‡€‰‹›™�" + "".join(map(chr, [*range(0x400, 0x410), *range(0x450, 0x460)]))
+# Signs that UTF-8 text read in a single-byte code page is full of, and two letters that only such text has often.
+_DEBRIS_CHARS = "ÃÂ±µ¶·¤¦§©¬®№‚†‡€‰‹›™�"
+# What the lead bytes of Cyrillic letters become in such text. Within words these capitals are debris, with the sign after them.
+_LEADS = (0x420, 0x421)
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _tables: dict[str, np.ndarray] = {}
 
@@ -109,6 +111,12 @@ def line_counts(texts: list[str], title_lines: bool = True) -> pd.DataFrame:
     line_of = np.repeat(np.arange(len(breaks)), breaks - starts + 1)
     per_line = lambda mask: np.add.reduceat(mask.astype(np.int32), starts)
     letter, blank = has(LETTER), has(BLANK)
+    lead = np.isin(points, _LEADS)
+    # A capital that starts a word, or stands among capitals, is a letter; what follows a lead in debris is no capital of the same alphabet.
+    small_next = np.r_[points[1:], 10]
+    upper = (small_next >= 0x410) & (small_next <= 0x42F)
+    paired = lead & np.r_[False, ~blank[:-1]] & ~upper & ~np.r_[blank[1:], True]
+    debris = has(DEBRIS) | paired | np.r_[False, paired[:-1]]
     apart = (points == 39) | (points == 0x2019)
     apart[1:-1] &= letter[:-2] & letter[2:]
     wordy = letter | apart
@@ -144,7 +152,7 @@ def line_counts(texts: list[str], title_lines: bool = True) -> pd.DataFrame:
             "bars": per_line(points == 124),
             "tabs": per_line((points == 9) & (idx > f[line_of])),
             "gaps": per_line(gap),
-            "debris": per_line(has(DEBRIS)),
+            "debris": per_line(debris),
             "cjk": per_line(has(CJK)),
             "kana": np.bincount(kana, minlength=n),
             "ended": ink & (last >= 0) & ((classes[a] & ENDER) > 0),

@@ -14,7 +14,27 @@ def test_query(spark, name):
     if name in ORACLES:
         same(spark, connect(FOLDER), FOLDER, QUERIES[name], ORACLES[name])
     else:
-        assert QUERIES[name](spark, FOLDER).columns
+        assert QUERIES[name](spark, FOLDER).collect() or name == "p8_found"
+
+
+def test_results_hold_together(spark):
+    """Invariants of results that have no SQL, on tables of sf0.01."""
+    d = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    bins = {}
+    for r in QUERIES["p7_packed"](spark, d).collect():
+        bins[r.bin_id] = bins.get(r.bin_id, 0) + r["size"]
+    sizes = {r.doc_id: len(r.ids) for r in QUERIES["p6_ids"](spark, d).collect()}
+    assert set(sizes) == set(docs) and sum(bins.values()) == sum(sizes.values()) and max(bins.values()) <= 2048 and sorted(bins) == list(range(len(bins)))
+    scores = {r.doc_id: r.score for r in QUERIES["p8_scores"](spark, d).collect()}
+    found = {r.doc_id for r in QUERIES["p8_found"](spark, d).collect()}
+    assert set(scores) == set(docs) and found == {i for i, s in scores.items() if s >= 0.5} and all(0 <= s <= 1 for s in scores.values())
+    rates = QUERIES["p8_rates"](spark, d).collect()
+    assert sum(r.found for r in rates) == len(found) and sum(r.documents for r in rates) == len(docs)
+    raw = {r.raw_id: r.md for r in spark.read.parquet(f"{d}/page_raw.parquet").collect()}
+    lost = {(r.raw_id, r.line_no) for r in QUERIES["p3_found"](spark, d).collect()}
+    for r in QUERIES["p3_main"](spark, d).collect():
+        assert r.md == (None if raw[r.raw_id] is None else "\n".join(s for n, s in enumerate(raw[r.raw_id].split("\n"), 1) if (r.raw_id, n) not in lost))
 
 
 def test_columns_of_found(spark):

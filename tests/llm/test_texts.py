@@ -210,3 +210,9 @@ def test_votes_alone_find_nearly_all_that_cues_find(spark):
     assert len(got[0] & got[1]) >= 0.93 * len(got[0]) and len(got[1] - got[0]) <= 0.01 * len(got[1])
     rows = boilerplate.containers(raw, "raw_id", "source_host", "md")
     assert boilerplate.path_votes(rows).where("verdict <> signum(score)").count() > 0
+
+
+def test_letters_of_other_alphabets_are_no_debris():
+    for text in ("Її сестра Ґаля пише з Європи, а їжак і ґава чекають.", "Његова сестра живи у Љубљани, а ђак и ћерка ћуте.", "РОСТОВ и СССР, Россия и Сибирь", "Ёлка у дома и ещё одна"):
+        assert text_quality.line_counts([text], False)["debris"].tolist() == [0]
+    assert text_quality.line_counts(["РѕСЃРјР»РјРµ Р°РёРіСЃР°"], False)["debris"].iloc[0] > 8
