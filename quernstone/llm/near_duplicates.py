@@ -16,7 +16,8 @@ form one class and take part once. The set-relation method is used on both level
 
 The global order uses shingle counts over all texts in a table of fixed size (2**SKETCH_BITS counters); clashes
 only change the order, never the result. Nothing that grows with the corpus reaches the driver.
-Shingles in very long lists are split into a grid of sub-lists, so no list is held by one task.
+Shingles in very long lists are split into a grid of sub-lists, so no list is held by one task. A list is long by what its counter has beyond the mean
+counter, so that full counters alone copy nothing.
 """
 
 import math
@@ -41,8 +42,8 @@ SLACK = 0.03
 LIST_ROWS = 100_000
 #: Postings that one bucket of the index holds, about.
 BUCKET_ROWS = 400_000
-#: Candidate pairs that one verification block holds, about.
-BLOCK_PAIRS = 20_000
+#: Candidate pairs, and bytes of sets, that one verification block holds, about.
+BLOCK_PAIRS, BLOCK_BYTES = 20_000, 64_000_000
 BLOOM_BITS = 23
 
 _WORD = re.compile(r"[^\W_]+")
@@ -97,15 +98,15 @@ def _matches(alpha):
     return 1 + np.floor(SLACK * alpha).astype(np.int64)
 
 
-def _slots(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def _slots(tokens: np.ndarray, bits: int) -> np.ndarray:
+    return (tokens >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _signatures(shingle: int, id_col: str, text_col: str):
+def _signatures(shingle: int, id_col: str, text_col: str, bits: int):
     """Per text its signature and set size (kind 0); per task its shingle counts in CHUNKS blobs (kind 1)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, held = np.zeros(1 << SKETCH_BITS, np.int32), []
+        counts, held = np.zeros(1 << bits, np.int32), []
         for pdf in batches:
             ids, keys, sigs, sizes = [], [], [], []
             for i, text in zip(pdf[id_col], pdf[text_col]):
@@ -113,7 +114,7 @@ def _signatures(shingle: int, id_col: str, text_col: str):
                 if len(s):
                     sig = signature(s)
                     ids.append(i), keys.append(_key(sig)), sigs.append(sig), sizes.append(len(s))
-                    held.append(_slots(s))
+                    held.append(_slots(s, bits))
             if held:
                 counts += np.bincount(np.concatenate(held), minlength=len(counts)).astype(np.int32)
                 held = []
@@ -137,8 +138,8 @@ def _merge_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"id": list(sums), "sig": [zlib.compress(a.astype(np.int32).tobytes(), 1) for a in sums.values()]})
 
 
-def _postings(shingle: int, threshold: float, text_col: str, counts, buckets: int, list_rows: int):
-    """The leading shingles of each set, packed by index bucket."""
+def _postings(shingle: int, threshold: float, text_col: str, counts, buckets: int, list_rows: int, usual: int, bits: int):
+    """The leading shingles of each set, packed by index bucket. `usual` is the mean counter: what a counter has beyond it is about the shingle's own count."""
 
     def pack(docs: list, buckets_: int) -> Iterator[tuple[int, bytes]]:
         keys = np.array([d[0] for d in docs], np.int64)
@@ -172,7 +173,7 @@ def _postings(shingle: int, threshold: float, text_col: str, counts, buckets: in
                 if key in seen:
                     continue
                 seen.add(key)
-                c = table[_slots(s)]
+                c = table[_slots(s, bits)]
                 least = math.ceil(threshold * n - 1e-9)
                 p = min(n, n - least + int(_matches(np.array(least))))
                 # A shingle whose counter is 1 occurs in no other text; equal counters are ordered by hash.
@@ -180,10 +181,10 @@ def _postings(shingle: int, threshold: float, text_col: str, counts, buckets: in
                 keep = c[order] > 1
                 tok, pos, cnt = s[order][keep], np.flatnonzero(keep), c[order][keep]
                 tok, side = tok >> np.uint64(16), np.full(len(pos), 2, np.int8)
-                if (hot := cnt > list_rows).any():
+                if (hot := cnt - usual > list_rows).any():
                     cells = [(tok[~hot], pos[~hot], side[~hot])]
                     for t, q, m in zip(tok[hot], pos[hot], cnt[hot]):
-                        grid = math.ceil(int(m) / list_rows)
+                        grid = math.ceil((int(m) - usual) / list_rows)
                         r = int((np.uint64(key & (2**64 - 1)) * _MIX) % np.uint64(grid))
                         at = np.arange(grid, dtype=np.uint64)
                         cell = np.minimum(at, np.uint64(r)) * np.uint64(grid) + np.maximum(at, np.uint64(r))
@@ -403,18 +404,19 @@ def _verify(threshold: float):
 
 
 def near_duplicates(
-    df: DataFrame, id_col: str, text_col: str, shingle: int = 5, threshold: float = 0.8, list_rows: int = LIST_ROWS, bucket_rows: int = BUCKET_ROWS, block_pairs: int = BLOCK_PAIRS
+    df: DataFrame, id_col: str, text_col: str, shingle: int = 5, threshold: float = 0.8, list_rows: int = LIST_ROWS, bucket_rows: int = BUCKET_ROWS, block_pairs: int = BLOCK_PAIRS, sketch_bits: int = SKETCH_BITS
 ) -> tuple[DataFrame, DataFrame]:
     """Membership (id, sig, n) of texts in classes of equal shingle sets, and all similar pairs (sig_a, sig_b, overlap, size_a, size_b) of classes.
 
     Null, empty and short texts (fewer than `shingle` words) are in no class. Rows with a null id are left out. An id
     that occurs with several texts is a member of several classes. Other columns are ignored. An empty table gives two empty results.
+    Counters take 4 * 2**sketch_bits bytes in each Python worker: more of them order shingles better on more than some 100 GB of text, and change no result.
     """
     spark = df.sparkSession
     docs = spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL"))
-    first = materialize(docs.mapInPandas(_signatures(shingle, "id", "text"), "kind int, id long, v long, sig binary, n int"), "signatures")
+    first = materialize(docs.mapInPandas(_signatures(shingle, "id", "text", sketch_bits), "kind int, id long, v long, sig binary, n int"), "signatures")
     members = first.where("kind = 0").select("id", "sig", "n")
-    counts = np.zeros(1 << SKETCH_BITS, np.int32)
+    counts = np.zeros(1 << sketch_bits, np.int32)
     part = len(counts) // CHUNKS
     merged = first.where("kind = 1").select("id", "sig").repartition(CHUNKS // 4, "id").mapInPandas(_merge_counts, "id long, sig binary")
     for c, blob in merged.collect():  # CHUNKS rows, 4 bytes a counter
@@ -423,15 +425,17 @@ def near_duplicates(
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(shuffle, math.ceil(total * (1 - threshold) / bucket_rows))
     shared = spark.sparkContext.broadcast(counts)
-    blocks = docs.mapInPandas(_postings(shingle, threshold, "text", shared, buckets, list_rows), "bucket long, blob binary")
+    blocks = docs.mapInPandas(_postings(shingle, threshold, "text", shared, buckets, list_rows, total // len(counts), sketch_bits), "bucket long, blob binary")
     met = blocks.groupBy("bucket").applyInPandas(_candidates(threshold), "a long, b long, k long, c long")
-    cand = materialize(met.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("k").alias("k")).where("c >= k").select("a", "b"), "candidates")
+    cand = materialize(met.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("k").alias("k")).where("c >= k").select("a", "b", "k"), "candidates")
     ends = cand.select(F.col("a").alias("v"), F.col("b").alias("u")).union(cand.select("b", "a"))
     labels = ends.groupBy("v").agg(F.least(F.min("u"), F.first("v")).alias("label"))
     keyed = cand.join(labels.withColumnRenamed("v", "a"), "a")
-    # A block is bounded in pairs, and in sets where many texts have few pairs each.
-    size = keyed.groupBy("label").agg(F.count("*").alias("pairs"), (F.approx_count_distinct("a") + F.approx_count_distinct("b")).alias("texts"))
-    wide = size.select("label", F.greatest(F.ceil(F.sqrt(F.col("pairs") / block_pairs)), F.ceil(F.col("texts") / block_pairs)).cast("int").alias("grid"))
+    # A block is bounded in pairs, in sets where many texts have few pairs each, and in bytes where sets are large: k tells the overlap, and so the sizes, of a pair.
+    size = keyed.groupBy("label").agg(F.count("*").alias("pairs"), (F.approx_count_distinct("a") + F.approx_count_distinct("b")).alias("texts"), F.avg("k").alias("k"))
+    set_bytes = F.col("texts") * F.col("k") * (6 / SLACK * (1 + threshold) / threshold / 2)
+    grid = F.greatest(F.ceil(F.sqrt(F.col("pairs") / block_pairs)), F.ceil(F.col("texts") / block_pairs), F.ceil(set_bytes / BLOCK_BYTES))
+    wide = size.select("label", grid.cast("int").alias("grid"))
     keyed = materialize(
         keyed.join(wide, "label").select("a", "b", "label", F.pmod(F.xxhash64("a"), "grid").alias("i"), F.pmod(F.xxhash64("b"), "grid").alias("j")), "blocks"
     )

@@ -94,3 +94,14 @@ def test_derived_overlaps_equal_computed_ones():
     partners = {a: [b for b in sets if b > a] for a in sets}
     for (a, b), o in nd.block_overlaps(sets, partners).items():
         assert o == len(np.intersect1d(sets[a], sets[b]))
+
+
+def test_full_counters_change_no_result_and_copy_nothing(spark):
+    docs = corpus(8)
+    df = spark.createDataFrame(docs, "id long, text string")
+    members, pairs = nd.near_duplicates(df, "id", "text", 3, 0.6, list_rows=60, sketch_bits=6)
+    assert {tuple(r) for r in nd.expand_pairs(members, pairs).collect()} == brute(docs, 3, 0.6)
+    # The counters hold many shingles each, so they are full beyond a list's length, though no shingle is.
+    sets = [nd.shingle_set(t, 3) for _, t in docs if t]
+    counts = np.bincount(np.concatenate([nd._slots(s, 6) for s in sets]), minlength=64)
+    assert counts.max() > 60 and (counts > 60).sum() > (counts - counts.sum() // 64 > 60).sum()
