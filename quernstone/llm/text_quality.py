@@ -112,10 +112,10 @@ def line_counts(texts: list[str], title_lines: bool = True) -> pd.DataFrame:
     per_line = lambda mask: np.add.reduceat(mask.astype(np.int32), starts)
     letter, blank = has(LETTER), has(BLANK)
     lead = np.isin(points, _LEADS)
-    # A capital that starts a word, or stands among capitals, is a letter; what follows a lead in debris is no capital of the same alphabet.
+    # A capital that starts a word, or stands among capitals, is a letter; what follows a lead in debris is neither a capital of the same alphabet nor ASCII.
     small_next = np.r_[points[1:], 10]
     upper = (small_next >= 0x410) & (small_next <= 0x42F)
-    paired = lead & np.r_[False, ~blank[:-1]] & ~upper & ~np.r_[blank[1:], True]
+    paired = lead & np.r_[False, ~blank[:-1]] & ~upper & (small_next > 127) & ~np.r_[blank[1:], True]
     debris = has(DEBRIS) | paired | np.r_[False, paired[:-1]]
     apart = (points == 39) | (points == 0x2019)
     apart[1:-1] &= letter[:-2] & letter[2:]
